@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autuario.runtime import cut, partitions
@@ -18,15 +19,31 @@ PRECEDENTS = "jurisprudênciarelevantecitada"
 _SCAN = "blk int, kind int, kept string, id string, first_key binary, last_key binary, last_kept string"
 
 
-def copy_key(text: Column) -> Column:
+def copy_key(text: str | None) -> str | None:
     """What copies of a text have in common: its letters and digits in order, in lower case.
 
     Of the two closing passages, each from its label to the other or to the end, the
-    one on provisions comes first. Null or without letter or digit: null.
+    one on provisions comes first. Null or without letter or digit: None.
     """
-    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
-    swapped = F.regexp_replace(bare, f"(?s)^(.*)({PRECEDENTS}.*?)({PROVISIONS}.*)$", "$1$3$2")
-    return F.when(bare == "", None).when(bare.contains(PRECEDENTS) & bare.contains(PROVISIONS), swapped).otherwise(bare)
+    bare = "".join(filter(str.isalnum, text.lower())) if text else ""
+    end = bare.rfind(PROVISIONS)
+    start = bare.rfind(PRECEDENTS, 0, end) if end >= 0 else -1
+    if start >= 0:
+        middle = bare.index(PROVISIONS, start)
+        bare = bare[:start] + bare[middle:] + bare[start:middle]
+    return bare or None
+
+
+def copy_digest(text: str | None) -> bytes | None:
+    """SHA-256 of the copy key."""
+    key = copy_key(text)
+    return None if key is None else sha256(key.encode("utf-8", "surrogatepass")).digest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = pa.array((copy_digest(t.as_py()) for t in b.column("text")), pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("id"), keys], names=["id", "key"]).filter(keys.is_valid())
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +108,8 @@ def copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     in two groups; an empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
-    keyed = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.unhex(F.sha2(copy_key(F.col(f"`{text_col}`")), 256)).alias("key"))
-    keyed = keyed.where("id is not null and key is not null")
+    texts = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
+    keyed = cut(texts.mapInArrow(_digests, "id string, key binary"), "copies-keys")
     blocks = keyed.repartitionByRange(partitions(spark), "key", "id").sortWithinPartitions("key", "id")
     scanned = cut(blocks.select("key", "id", F.spark_partition_id().alias("blk")).mapInArrow(_scan, _SCAN), "copies-scan")
     carried, key, kept = [], None, None

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autuario.llm.copies import copy_key
+from autuario.llm.copies import copy_digest
 from autuario.llm.darts import EMPTY, signatures
 from autuario.llm.words import mix, pieces, sequence_hashes, shingle_hashes, word_hashes
 from autuario.runtime import cut
@@ -73,7 +73,7 @@ def _sign(shingle: int, bands: int, rows: int):
                 offsets = np.concatenate([[0], np.cumsum(np.where(signed, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~signed))
                 out = pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(part.start, n), pa.array(h.view(np.int64)), batch.column("k6").slice(part.start, n), lists,
+                    [batch.column("id").slice(part.start, n), pa.array(h.view(np.int64)), pa.array([copy_digest(t) for t in own], pa.binary()), lists,
                      pa.array(sketch[:, 0].copy().view(np.int64)), pa.array(sketch[:, 1].copy().view(np.int64))],
                     names=["id", "h", "k6", "bands", "s1", "s2"],
                 )
@@ -254,8 +254,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     """
     bands, rows, least = plan_bands(threshold)
     texts = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
-    keyed = texts.select("id", "text", F.unhex(F.md5(copy_key(F.col("text")))).alias("k6"))
-    signed = cut(keyed.mapInArrow(_sign(shingle, bands, rows), _SIGNED), "near-signed")
+    signed = cut(texts.mapInArrow(_sign(shingle, bands, rows), _SIGNED), "near-signed")
     found = cut(candidates(signed, least), "near-candidates")
     ends = found.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
     few = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
