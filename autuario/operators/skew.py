@@ -28,3 +28,18 @@ def semi_join_counted(df: DataFrame, wanted: DataFrame, key: str, total: int) ->
     here = marked.where(F.col("_hot")).drop("_hot")
     rest = marked.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot")
     return here.unionByName(rest.join(cold.hint("merge"), key, "left_semi"))
+
+
+def left_join_counted(df: DataFrame, answers: DataFrame, key: str, total: int) -> DataFrame:
+    """``df`` left-joined with ``answers`` (one row for every ``key`` of ``df``, with its row count ``n``).
+
+    As in ``semi_join_counted``, hot keys are answered where their rows are; rows
+    with a null key need no partner. ``n`` is dropped.
+    """
+    least = max(1, total // HOT_SHARE)
+    values = [c for c in answers.columns if c not in (key, "n")]
+    hot = answers.where(F.col("n") > least).drop("n").withColumn("_hot", F.lit(True))
+    marked = df.join(F.broadcast(hot), key, "left")
+    here = marked.where(F.col("_hot") | F.col(key).isNull()).drop("_hot")
+    rest = marked.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot", *values)
+    return here.unionByName(rest.join(answers.where(F.col("n") <= least).drop("n"), key, "left"))
