@@ -10,13 +10,13 @@ from autuario.functions.text import digits
 
 def source_date(col: Column) -> Column:
     """A date as the sources write it (yyyyMMdd), null if illegible."""
-    return F.try_to_date(col, F.lit("yyyyMMdd"))
+    return F.try_to_date(col, "yyyyMMdd")
 
 
 def single_publication(col: Column) -> Column:
     """The publication date of a notice, null unless it names exactly one."""
     found = F.array_distinct(F.regexp_extract_all(col, F.lit(r"(\d{2}/\d{2}/\d{4})"), 1))
-    return F.when(F.size(found) == 1, F.try_to_date(found[0], F.lit("dd/MM/yyyy")))
+    return F.when(F.size(found) == 1, F.try_to_date(found[0], "dd/MM/yyyy"))
 
 
 def local_date(col: Column, zone: str = "America/Sao_Paulo") -> Column:

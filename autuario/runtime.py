@@ -35,7 +35,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Unlike ``checkpoint()`` the table is compressed and columnar, so later reads
-    prune columns. The table lives until ``drop_tables`` or the end of the process.
+    prune columns. The table lives until ``drop_tables``, at the latest until the driver ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,6 +44,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
 def drop_tables() -> None:
     """Delete every table ``cut`` has written and that no result reads any more."""
     while _TABLES:
