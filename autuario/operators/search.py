@@ -147,15 +147,26 @@ def snippet(df: DataFrame, id_col: str, text_col: str, order: list[Leaf], size:
     most distinct terms of the query, the earliest of such; for the few documents of a page."""
     words = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).dropDuplicates(["id"])
 
-    def marked(leaf: Leaf) -> Column:
-        one = (lambda x: x.startswith(leaf.tokens[-1])) if leaf.prefix else (lambda x: x.isin(list(leaf.tokens)))
-        return F.transform("w", lambda x: F.when(one(x), 1).otherwise(0))
-
-    marks = [marked(leaf) for leaf in order if leaf.tokens]
+    # one bit per leaf: a token's mask, then the window's
+    exact: dict[str, int] = {}
+    for k, leaf in enumerate(order):
+        if not leaf.prefix:
+            for t in leaf.tokens:
+                exact[t] = exact.get(t, 0) | 1 << k
+    known = F.create_map(*[x for t, bits in exact.items() for x in (F.lit(t), F.lit(bits).cast("long"))]) if exact else None
+    begins = [(leaf.tokens[-1], 1 << k) for k, leaf in enumerate(order) if leaf.prefix and leaf.tokens]
+
+    def mask(x: Column) -> Column:
+        bits = F.coalesce(known[x], F.lit(0).cast("long")) if known is not None else F.lit(0).cast("long")
+        for start, bit in begins:
+            bits = bits.bitwiseOR(F.when(x.startswith(start), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+        return bits
+
+    words = words.withColumn("m", F.transform("w", mask))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
 
     def distinct(i: Column) -> Column:
-        return reduce(Column.__add__, [F.when(F.array_contains(F.slice(m, i, F.lit(size)), 1), 1).otherwise(0) for m in marks])
+        return F.bit_count(F.aggregate(F.slice("m", i, F.lit(size)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
     scored = F.transform(starts, lambda i: F.struct((-distinct(i)).alias("d"), i.alias("i")))
     best = F.array_min(scored)
