@@ -21,11 +21,11 @@ from autuario.runtime import cut, partitions
 #: Cells an entry is added to.
 HASHES = 3
 #: Differing entries expected per entry of the larger snapshot, at first; a bucket where there are more fails and is enlarged.
-FIRST_SHARE = 0.45
+FIRST_SHARE = 0.35
 #: Cells per differing entry: peeling with three hashes succeeds with high probability above 1.23.
 SPARE = 1.4
 #: Least cells of a bucket.
-LEAST_CELLS = 24
+LEAST_CELLS = 15
 
 _PEELED = "pair long, bucket int, cells int, kh long, vh long, sign int, failed boolean"
 
@@ -165,7 +165,7 @@ def snapshot_changes(entries: DataFrame, steps: DataFrame, max_rounds: int = 24)
 
     Rows with a null snapshot or key don't count; a null hash is a value of its own;
     repeated rows count once, and of several hashes of one key in one snapshot the
-    smallest stands. Snapshots without entries are empty. One shuffle, by hash
+    one of least digest stands. Snapshots without entries are empty. One shuffle, by hash
     bucket of the key, serves the removal of repeats, the tables and the peeling;
     buckets are even however large one snapshot is. A bucket whose table is too
     small for its differences is built again with twice the cells. Recovered
@@ -185,7 +185,7 @@ def snapshot_changes(entries: DataFrame, steps: DataFrame, max_rounds: int = 24)
     stat = sizes.agg(F.sum("n"), F.count("*"), F.max("n")).first()
     if not stat[0]:
         return spark.createDataFrame([], "pair long, next string, key string, change string")
-    buckets = max(partitions(spark), -(-int(stat[0]) // int(stat[1]) // 512))
+    buckets = max(4 * partitions(spark), -(-int(stat[0]) // int(stat[1]) // 512))
     width = (F.ceil((F.col("n") / buckets * FIRST_SHARE * SPARE + LEAST_CELLS + F.sqrt(F.col("n") / buckets)) / HASHES)).cast("int")
     sides = pairs.select("pair", width.alias("width"), F.explode(F.array(F.struct(F.col("prev").alias("s"), F.lit(-1).alias("sign")), F.struct(F.col("next").alias("s"), F.lit(1).alias("sign")))).alias("x")).select(F.col("x.s").alias("snapshot"), "pair", "width", F.col("x.sign").alias("sign"))
     hashed = clean.select(
@@ -193,9 +193,9 @@ def snapshot_changes(entries: DataFrame, steps: DataFrame, max_rounds: int = 24)
         F.xxhash64("key", F.lit(11)).alias("kh"),
     ).withColumn("bucket", F.pmod("kh", F.lit(buckets)).cast("int"))
     single = (
-        hashed.select("bucket", "snapshot", "kh", F.xxhash64(F.col("hash").isNull(), "hash", "key", F.lit(12)).alias("vh"), F.coalesce("hash", F.lit("")).alias("hash"))
+        hashed.select("bucket", "snapshot", "kh", F.xxhash64(F.col("hash").isNull(), "hash", "key", F.lit(12)).alias("vh"))
         .repartition("bucket")
-        .groupBy("bucket", "snapshot", "kh").agg(F.min_by("vh", "hash").alias("vh"))
+        .groupBy("bucket", "snapshot", "kh").agg(F.min("vh").alias("vh"))
     )
     single = cut(single, "snapshot-entries")
     entry = single.join(F.broadcast(sides) if _small(sides) else sides, "snapshot").select("pair", "bucket", "width", "sign", "kh", "vh")

@@ -198,6 +198,7 @@ class Engine:
         asked = self.spark.createDataFrame(list(enumerate(references)), "ord int, texto string").withColumn("court", C.court_of(F.col("texto")))
         p, j = C.precedent_key(F.col("texto"), F.col("court")), C.judgment_key(F.col("texto"), F.col("court"))
         keyed = asked.select(F.lit("").alias("document_id"), "ord", F.when(j.isNotNull(), "acordao").otherwise("precedente").alias("tipo"), F.coalesce(j, p).alias("chave"))
+        keyed = self.spark.createDataFrame(keyed.collect(), keyed.schema)  # a few rows: read once
         r = C.resolve(keyed, self._table("documents"), self._table("precedents"))
         state: Column = F.when(F.col("chave").isNull(), "unread").when(F.col("resolvido").isNotNull(), "held").when(F.col("candidatos").isNotNull(), "several").otherwise("not_held")
         found = {x["ord"]: x.asDict() for x in r.select("ord", "chave", state.alias("state"), "resolvido", "candidatos").collect()}

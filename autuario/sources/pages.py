@@ -89,4 +89,4 @@ def stable(found: DataFrame) -> DataFrame:
     per_id = found.where("id is not null").groupBy("id").agg(F.count_distinct(content).alias("contents"))
     ids = per_id.agg(F.count("*").alias("ids"), F.count_if(F.col("contents") > 1).alias("conflicts"))
     totals = found.agg(F.count_distinct("total").alias("totals"), F.max("total").alias("total"))
-    return totals.join(F.broadcast(ids)).select("total", "ids", "conflicts", ((F.col("totals") == 1) & (F.col("total") == F.col("ids")) & (F.col("conflicts") == 0)).alias("complete"))
+    return totals.join(F.broadcast(ids)).select("totals", "total", "ids", "conflicts", ((F.col("totals") == 1) & (F.col("total") == F.col("ids")) & (F.col("conflicts") == 0)).alias("complete"))
