@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,6 @@ from autuario.llm.darts import EMPTY, signatures
 from autuario.llm.words import mix, pieces, sequence_hashes, shingle_hashes, word_hashes
 from autuario.runtime import cut
 
-_WORD = re.compile(r"[^\W_]+")
 #: Signature bits kept beside each band, and how many of them must agree for a pair to be looked at.
 BITS = 128
 #: A run of one band key longer than this is joined in pieces by many tasks.
@@ -23,7 +21,7 @@ RUN = 256
 #: Largest number of candidate texts whose ids are broadcast (8 bytes each); beyond it they are shuffled.
 BROADCAST_IDS = 500_000
 
-_SIGNED = "id string, h long, k6 binary, bands array<long>, s1 long, s2 long"
+_SIGNED = "id string, h long, bands array<long>, s1 long, s2 long"
 _PAIRED = "ha long, hb long, band long, h long, s1 long, s2 long, chunk int"
 
 
@@ -73,9 +71,9 @@ def _sign(shingle: int, bands: int, rows: int):
                 offsets = np.concatenate([[0], np.cumsum(np.where(signed, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~signed))
                 out = pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(part.start, n), pa.array(h.view(np.int64)), pa.array([copy_digest(t) for t in own], pa.binary()), lists,
+                    [batch.column("id").slice(part.start, n), pa.array(h.view(np.int64)), lists,
                      pa.array(sketch[:, 0].copy().view(np.int64)), pa.array(sketch[:, 1].copy().view(np.int64))],
-                    names=["id", "h", "k6", "bands", "s1", "s2"],
+                    names=["id", "h", "bands", "s1", "s2"],
                 )
                 yield out.filter(pa.array(has))
 
@@ -209,30 +207,34 @@ def candidates(signed: DataFrame, least: int) -> DataFrame:
     return short.unionByName(more.select("ha", "hb")).where("ha < hb").distinct()
 
 
-def shingles(text: str, size: int) -> frozenset:
-    """The set of ``size`` consecutive words of a text."""
-    w = _WORD.findall(text.lower())
-    return frozenset(zip(*(w[i:] for i in range(size))))
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """The sets of ``size`` consecutive words of texts, as sorted 64-bit hashes."""
+    out: list[np.ndarray] = []
+    for part in pieces(texts):
+        doc, element = shingle_hashes(*word_hashes([texts[i] for i in part]), size)
+        edges = np.searchsorted(doc, np.arange(len(part) + 1))
+        out += [np.unique(element[a:b]) for a, b in zip(edges, edges[1:])]
+    return out
 
 
 def _verify(threshold: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, a = None, frozenset()
         for batch in batches:
-            ha, hb, ta, tb = (batch.column(c).to_pylist() for c in ("ha", "hb", "ta", "tb"))
-            out: list[tuple[int, int, float]] = []
-            for i in range(len(ha)):
-                if ha[i] != last:
-                    last, a = ha[i], shingles(ta[i], size)
-                b = shingles(tb[i], size)
-                both = len(a & b)
-                j = both / (len(a) + len(b) - both) if a or b else 0.0
-                if j >= threshold:
-                    out.append((ha[i], hb[i], j))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())],
-                names=["ha", "hb", "similarity"],
-            )
+            ha, hb = (np.asarray(batch.column(c)) for c in ("ha", "hb"))
+            texts: dict[int, str] = {}
+            for h, column in ((ha, "ta"), (hb, "tb")):
+                found, first = np.unique(h, return_index=True)
+                new = [(x, i) for x, i in zip(found.tolist(), first.tolist()) if x not in texts]
+                texts.update(zip((x for x, _ in new), batch.column(column).take(pa.array([i for _, i in new], pa.int64())).to_pylist()))
+            sets = dict(zip(texts, shingle_sets(list(texts.values()), size)))
+            similarity = np.zeros(len(ha))
+            for i, (x, y) in enumerate(zip(ha.tolist(), hb.tolist())):
+                a, b = sets[x], sets[y]
+                both = np.isin(a, b, assume_unique=True, kind="sort").sum()
+                similarity[i] = both / (len(a) + len(b) - both)
+            same = pa.array((batch.column("ka").to_pandas() == batch.column("kb").to_pandas()).to_numpy(bool))
+            out = pa.RecordBatch.from_arrays([batch.column("ha"), batch.column("hb"), pa.array(similarity), same], names=["ha", "hb", "similarity", "copies"])
+            yield out.filter(pa.array(similarity >= threshold))
 
     return run
 
@@ -240,10 +242,10 @@ def _verify(threshold: float, size: int):
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
     """Texts whose sets of ``shingle`` consecutive words have a Jaccard index of ``threshold`` or more.
 
-    Gives two tables. Classes: ``h, id, k6``, each id with the class of all texts
-    that have the same words in the same order, and the digest of its copy key.
-    Links: ``ha, hb, similarity``, each pair of different classes at or above the
-    threshold, verified on the whole texts.
+    Gives two tables. Classes: ``h, id``, each id with the class of all texts that
+    have the same words in the same order. Links: ``ha, hb, similarity, copies``, each
+    pair of different classes at or above the threshold, verified on all shingles of
+    the whole texts; ``copies``: they have the same letters and digits in order.
 
     Every text gets a DartMinHash signature; classes that share a band of it are
     compared by 128 signature bits and, where these agree enough, word by word.
@@ -263,12 +265,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     first = cut(first, "near-first")
     whole = cut(_texts_of(texts, first, few), "near-texts")
     both = (
-        found.join(whole.select(F.col("h").alias("ha"), F.col("text").alias("ta")), "ha")
-        .join(whole.select(F.col("h").alias("hb"), F.col("text").alias("tb")), "hb")
-        .select("ha", "hb", "ta", "tb")
+        found.join(whole.select(F.col("h").alias("ha"), F.col("text").alias("ta"), F.col("key").alias("ka")), "ha")
+        .join(whole.select(F.col("h").alias("hb"), F.col("text").alias("tb"), F.col("key").alias("kb")), "hb")
+        .select("ha", "hb", "ta", "tb", "ka", "kb")
     )
-    links = cut(both.mapInArrow(_verify(threshold, shingle), "ha long, hb long, similarity double"), "near-links")
-    return signed.select("h", "id", "k6").distinct(), links
+    links = cut(both.mapInArrow(_verify(threshold, shingle), "ha long, hb long, similarity double, copies boolean"), "near-links")
+    return signed.select("h", "id").distinct(), links
 
 
 def _texts_of(texts: DataFrame, first: DataFrame, few: bool) -> DataFrame:
@@ -280,18 +282,18 @@ def _texts_of(texts: DataFrame, first: DataFrame, few: bool) -> DataFrame:
             t = b.column("text").to_pylist()
             for part in pieces(t):
                 h = sequence_hashes(*word_hashes([t[i] for i in part]), len(part)).view(np.int64)
-                own = b.slice(part.start, len(part))
-                yield own.filter(pa.array(h == np.asarray(own.column("h"))))
+                own = b.slice(part.start, len(part)).filter(pa.array(h == np.asarray(b.column("h").slice(part.start, len(part)))))
+                keys = pa.array([copy_digest(x) for x in own.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column("h"), own.column("text"), keys], names=["h", "text", "key"])
 
-    return held.select("h", "text").mapInArrow(same, "h long, text string").dropDuplicates(["h"])
+    return held.select("h", "text").mapInArrow(same, "h long, text string, key binary").dropDuplicates(["h"])
 
 
 def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int) -> DataFrame:
     """``id_a, id_b, similarity``: pairs of ids, smaller first, of similar texts that are no copies of each other."""
     classes, links = near_duplicates(df, id_col, text_col, threshold, shingle)
-    a = classes.select(F.col("h").alias("ha"), F.col("id").alias("ia"), F.col("k6").alias("ka"))
-    b = classes.select(F.col("h").alias("hb"), F.col("id").alias("ib"), F.col("k6").alias("kb"))
-    pairs = links.join(a, "ha").join(b, "hb").where("not (ka <=> kb) and ia <> ib")
+    a, b = (classes.select(F.col("h").alias(f"h{c}"), F.col("id").alias(f"i{c}")) for c in "ab")
+    pairs = links.where("not copies").join(a, "ha").join(b, "hb").where("ia <> ib")
     return pairs.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity").distinct()
 
 
