@@ -18,8 +18,8 @@ from autuario.runtime import cut
 BITS = 128
 #: A run of one band key longer than this is joined in pieces by many tasks.
 RUN = 256
-#: Largest number of candidate texts whose ids are broadcast (8 bytes each); beyond it they are shuffled.
-BROADCAST_IDS = 500_000
+#: Largest number of candidate texts whose ids are broadcast (some 30 bytes each); beyond it they are shuffled.
+BROADCAST_IDS = 100_000
 
 _SIGNED = "id string, h long, bands array<long>, s1 long, s2 long"
 _PAIRED = "ha long, hb long, band long, h long, s1 long, s2 long, chunk int"
@@ -29,11 +29,11 @@ def plan_bands(threshold: float) -> tuple[int, int, int]:
     """(bands, rows, least agreeing bits) for a similarity threshold.
 
     Rows are as many as keep dissimilar texts apart, bands as many as miss fewer
-    than 4 of 1,000 pairs exactly at the threshold; the bits' bound is 3.6 standard
+    than 2 of 1,000 pairs exactly at the threshold; the bits' bound is 3.6 standard
     deviations below what such a pair has.
     """
     rows = 3 if threshold < 0.5 else 4 if threshold < 0.75 else 6
-    bands = int(np.ceil(np.log(0.004) / np.log(1 - threshold**rows)))
+    bands = int(np.ceil(np.log(0.002) / np.log(1 - threshold**rows)))
     p = (1 + threshold) / 2
     return bands, rows, int(BITS * p - 3.6 * np.sqrt(BITS * p * (1 - p)))
 

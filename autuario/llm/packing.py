@@ -227,13 +227,16 @@ def pack(items: DataFrame, containers: DataFrame) -> DataFrame:
 
     Cases: an item of size 0 is placed and takes no room; null ids and sizes have no
     row; of repeated ids the largest size stands; a kind of container without a
-    positive capacity holds nothing; empty tables give no rows.
+    positive capacity holds nothing; the kinds are parameters and few; empty tables give no rows.
     """
     item = items.where("id is not null and tokens is not null").groupBy("id").agg(F.max("tokens").alias("tokens"))
     item = cut(item, "packing-items")
     groups = max(1, -(-item.count() // GROUP))
     kinds = containers.where("container is not null and capacity > 0").select("container", F.col("capacity").cast("int").alias("capacity")).distinct()
-    each = item.crossJoin(F.broadcast(kinds.limit(1000)))  # one row per kind of container: a handful
+    listed = [F.struct(F.lit(r["container"]).alias("container"), F.lit(r["capacity"]).alias("capacity")) for r in kinds.collect()]  # a table of parameters
+    if not listed:
+        return item.sparkSession.createDataFrame([], _PACKED)
+    each = item.select("id", "tokens", F.explode(F.array(*listed)).alias("k")).select("id", "tokens", "k.container", "k.capacity")
     full = F.when(F.col("tokens") > F.col("capacity"), F.floor(F.col("tokens") / F.col("capacity"))).otherwise(F.lit(0)).cast("int")
     each = each.withColumn("n", full)
     whole = each.where("n > 0").select("container", "capacity", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("piece")).select(

@@ -58,6 +58,13 @@ def test_long_runs_are_joined_in_pieces(spark, monkeypatch):
     assert not got - want and len(want - got) <= 0.02 * len(want)
 
 
+def test_many_candidates_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(near, "BROADCAST_IDS", 1)
+    rows = corpus(4, 4, 5)
+    got = {(r["id_a"], r["id_b"]) for r in near_pairs(spark.createDataFrame(rows, SCHEMA), "id", "ementa", 0.6, 3).collect()}
+    assert got == brute(rows, 0.6, 3)
+
+
 def test_groups_are_connected_components(spark):
     rows = corpus(3)
     pairs = brute(rows, 0.6, 3)
