@@ -45,3 +45,16 @@ def sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     start = F.aggregate(F.slice("p", 1, F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
     spans = each.select("id", "name", start.alias("start"), F.element_at("p", F.col("i") + 1).alias("text"), "digest")
     return spans.where("name <> 'cabecalho' or trim(text) <> ''").select("id", "name", "start", (F.col("start") + F.length("text")).alias("end"), "digest", "text")
+
+
+def header(text: Column, size: int = 120) -> Column:
+    """What precedes the first section, numbered paragraph or blank line, at most ``size`` characters at a word's end.
+
+    A text that opens with a heading is stood for by its first line.
+    """
+    from autuario.functions.text import cut_at_word
+
+    body = F.regexp_replace(text, r"^\s+", "")
+    opening = F.split(parts(body)[0], r"\n[ \t]*(?:\r?\n|(?:[0-9]{1,3}|[IVX]{1,5})[ \t]*[.)–-])")[0]
+    first_line = F.split(body, "\n")[0]
+    return F.rtrim(cut_at_word(F.trim(F.regexp_replace(F.when(F.trim(opening) == "", first_line).otherwise(opening), r"\s+$", "")), size))

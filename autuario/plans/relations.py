@@ -298,7 +298,43 @@ def retrieval_metrics(spark, d):
     return averaged(per_query(rows, "document_id", "ord", "grade", 8))
 
 
+def headers(spark, d):
+    """The opening of each ementa, at most 120 characters."""
+    from autuario.operators.sections import header
+
+    rows = table(spark, d, "search").where("id is not null and ementa is not null").distinct()
+    return rows.select("id", header(F.col("ementa")).alias("header"))
+
+
+def period_parts(spark, d):
+    """The period of publication of a court in halves of halves, until each part has at most 50 decisions."""
+    from autuario.operators.periods import parts_of
+
+    return parts_of(table(spark, d, "documents").where("tribunal = 'TJSC'"), "publication", 50)
+
+
+def export_changes(spark, d):
+    """What an export of the documents would write against an export of all but the newest content of each."""
+    from autuario.operators.export import export_plan, markdown
+
+    docs = table(spark, d, "documents").select("id", markdown(F.col("id"), {"classe": F.col("classe"), "julgamento": F.col("judgment")}, F.col("hash")).alias("content"))
+    old = table(spark, d, "versions").select("document_id", "hash").distinct().join(table(spark, d, "documents").select(F.col("id").alias("document_id"), "classe", "judgment"), "document_id", "left")
+    before = old.groupBy("document_id").agg(F.min(F.struct("hash", "classe", "judgment")).alias("o"))
+    previous = before.select(F.col("document_id").alias("id"), F.sha2(markdown(F.col("document_id"), {"classe": F.col("o.classe"), "julgamento": F.col("o.judgment")}, F.col("o.hash")), 256).alias("sha256"))
+    return export_plan(docs, previous).select("id", "sha256", "action")
+
+
+def catalog_upsert(spark, d):
+    """The catalog of deliveries after a listing without the failed ones."""
+    from autuario.operators.export import upsert_catalog
+
+    r = table(spark, d, "resources").select("id", "sha256", F.when(F.col("status") == "ok", F.col("sha256")).alias("applied"))
+    listed = table(spark, d, "resources").where("status <> 'error'").select("id", F.when(F.col("rank_key") > "20250601", F.concat("sha256", F.lit("2"))).otherwise(F.col("sha256")).alias("sha256"))
+    return upsert_catalog(r, listed, "id", "sha256")
+
+
 QUERIES = {f.__name__: f for f in (
+    headers, period_parts, export_changes, catalog_upsert,
     filter_exact, filter_number, filter_dates, filter_withdrawn, filter_precedents, json_fields, current_versions, export_rows, winner_per_document, merge_upsert,
     duplicate_versions, coverage_groups, coverage_intersects, admission_counts, resource_summary, latest_resource, collection_delay, panel_groups, joined_classes,
     merged_numbers, held_by_key, before_after, fingerprint, hash_sample, page_by_date, history_page, pending_first, text_blocks, byte_budget, backup_retention,
@@ -313,6 +349,15 @@ _NUMBER = "regexp_replace(process, '^(\\d{7})(\\d{2})(\\d{4})(\\d)(\\d{2})(\\d{4
 _CHECK = "lpad((98 - (substr(process, 1, 7) || substr(process, 10, 11) || '00')::hugeint % 97)::varchar, 2, '0')"
 
 SQL = {
+    "catalog_upsert": """with l as (select id, case when rank_key > '20250601' then sha256 || '2' else sha256 end as s from resources where status <> 'error')
+ select r.id, coalesce(l.s, r.sha256) as sha256, case when status = 'ok' then r.sha256 end as applied, l.id is not null as present, l.id is not null and l.s is distinct from (case when status = 'ok' then r.sha256 end) as pending from resources r left join l using (id)""",
+    "export_changes": """with n as (select id, sha256('# ' || id || chr(10) || chr(10) || concat_ws(chr(10), '- classe: ' || classe, '- julgamento: ' || judgment) || chr(10) || chr(10) || hash || chr(10)) as s from documents),
+ o as (select v.document_id as id, sha256('# ' || v.document_id || chr(10) || chr(10) || concat_ws(chr(10), '- classe: ' || classe, '- julgamento: ' || judgment) || chr(10) || chr(10) || min(v.hash) || chr(10)) as s from versions v left join documents d on d.id = v.document_id group by v.document_id, classe, judgment)
+ select coalesce(n.id, o.id) as id, coalesce(n.s, o.s) as sha256, case when n.id is null then 'retire' when o.id is null then 'add' when n.s = o.s then 'keep' else 'replace' end as action from n full join o on n.id = o.id""",
+    "period_parts": """with recursive c as (select publication as d, count(*) as n from documents where tribunal = 'TJSC' and publication is not null group by 1),
+ p as (select (select min(d) from c) as a, (select max(d) from c) as b, (select sum(n) from c) as n union all
+  select s.a, s.b, coalesce((select sum(n) from c where c.d between s.a and s.b), 0) from (select unnest([{'a': a, 'b': a + ((b - a) // 2)::int}, {'a': a + ((b - a) // 2)::int + 1, 'b': b}]) as s from p where n > 50 and a < b))
+ select a as start, b as "end", n::bigint as n from p where n <= 50 or a >= b""",
     "filter_exact": "select id, process, judgment from documents where tribunal = 'TJSC' and classe = 'APCIV' and organ = '1A CAMARA DE DIREITO CIVIL'",
     "filter_number": "select id, process, registration from documents where (select min(process) from documents where tribunal = 'TJSC') in (process, registration)",
     "filter_dates": "select id, judgment, publication from documents where judgment between '2010-01-01' and '2012-12-31' and publication >= '2010-06-01'",
