@@ -30,13 +30,28 @@ LEAST_CELLS = 15
 _PEELED = "pair long, bucket int, cells int, kh long, vh long, sign int, failed boolean"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: every input bit reaches every output bit."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+# The constants of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _xxhash(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """XXH64 of 64-bit integers, as Spark's ``xxhash64`` has it."""
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = seed + _P5 + np.uint64(8)
+    h = h ^ (turn(value * _P2, 31) * _P1)
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _check(kh: np.ndarray, vh: np.ndarray) -> np.ndarray:
+    return _xxhash(vh, _xxhash(kh, np.full(len(kh), 42, np.uint64)))
+
+
+def _slot(check: np.ndarray, third: int, size: np.ndarray) -> np.ndarray:
+    """The cell of an entry in each third, from its check."""
+    return np.mod(_xxhash(np.full(len(check), third, np.uint64), check).view(np.int64), size)
 
 
 def _peel(cell: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -66,7 +81,7 @@ def _peel(cell: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
         look = look[np.abs(count[look]) == 1]
         s = count[look]
         kh, vh, ck = sums[:, look]
-        pure = _mix(kh ^ _mix(vh)) == ck
+        pure = _check(kh, vh) == ck
         look, s, kh, vh, ck = look[pure], s[pure], kh[pure], vh[pure], ck[pure]
         if not len(look):
             break
@@ -76,7 +91,7 @@ def _peel(cell: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
         out.append((g, kh, vh, s))
         places = []
         for third in range(HASHES):
-            p = start[g] + third * size[g] + (_place(kh, vh, third) % size[g].astype(np.uint64)).astype(np.int64)
+            p = start[g] + third * size[g] + _slot(ck, third, size[g])
             np.subtract.at(count, p, s)
             for i, v in enumerate((kh, vh, ck)):
                 np.bitwise_xor.at(sums[i], p, v)
@@ -90,25 +105,6 @@ def _peel(cell: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     return (*(np.concatenate(x) for x in zip(*out)), failed)
 
 
-def _place(kh: np.ndarray, vh: np.ndarray, third: int) -> np.ndarray:
-    return _mix(kh ^ _mix(vh + np.uint64(third + 1))) >> np.uint64(1)
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries to cells: adds the check and the three cells."""
-    for b in batches:
-        kh, vh = (np.asarray(b.column(c)).view(np.uint64) for c in ("kh", "vh"))
-        width = np.asarray(b.column("width")).astype(np.uint64)
-        check = _mix(kh ^ _mix(vh))
-        reps = [b.column(c) for c in ("pair", "bucket", "width", "sign", "kh", "vh")]
-        for third in range(HASHES):
-            slot = (_place(kh, vh, third) % width).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*reps, pa.array(np.full(len(slot), third, np.int32)), pa.array(slot), pa.array(check.view(np.int64))],
-                names=["pair", "bucket", "width", "sign", "kh", "vh", "third", "slot", "check"],
-            )
-
-
 def _peel_batches(batches: Iterator[pa.RecordBatch], rows: int = 400_000) -> Iterator[pa.RecordBatch]:
     """Peel sorted cells, in pieces that end where a bucket ends."""
 
@@ -201,10 +197,12 @@ def snapshot_changes(entries: DataFrame, steps: DataFrame, max_rounds: int = 24)
     entry = single.join(F.broadcast(sides) if _small(sides) else sides, "snapshot").select("pair", "bucket", "width", "sign", "kh", "vh")
 
     def attempt(e: DataFrame, name: str) -> DataFrame:
-        cells = e.mapInArrow(_cells, "pair long, bucket int, width int, sign int, kh long, vh long, third int, slot int, check long")
+        thirds = F.explode(F.array(*[F.lit(k).cast("long") for k in range(HASHES)]))
+        here = e.repartition("bucket").withColumn("check", F.xxhash64("kh", "vh")).withColumn("third", thirds)
+        cells = here.withColumn("slot", F.pmod(F.xxhash64("kh", "vh", "third"), F.col("width")).cast("int"))
         xors = [F.bit_xor(c).alias(c) for c in ("kh", "vh", "check")]
         summed = (
-            cells.repartition("bucket").groupBy("pair", "bucket", "width", "third", "slot")
+            cells.groupBy("pair", "bucket", "width", "third", "slot")
             .agg(F.sum("sign").alias("n"), *xors)
             .where("n <> 0 or kh <> 0 or vh <> 0 or check <> 0")
             .sortWithinPartitions("pair", "bucket")
