@@ -20,18 +20,20 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autuario.llm.words import mix, pieces
+from autuario.llm.words import mix, pieces, powers
 
 # Fixed value: the pre-tokenizer of the vocabulary byte_bpe_50k.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BLANKS = frozenset(b" \t\n\r\x0b\x0c")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: One blank run in so many ends a chunk.
 CUT_EVERY = 2
 #: Bytes of the rolling hash's window.
 WINDOW = 8
 #: A run of so many bytes without a blank is cut anyway, and its joins repaired.
 BLANKLESS = 8192
-#: Bytes of encoded chunks a task keeps.
-CACHE_BYTES = 48_000_000
+#: Bytes of known chunks a task keeps.
+CACHE_BYTES = 96_000_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -68,29 +70,62 @@ def cuts(raw: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts, keeping what chunks encode to."""
+    """Encodes texts, keeping what chunks encode to.
+
+    A chunk is known by a 64-bit hash of its bytes together with its length. The ids
+    of all known chunks lie in one pool, from which a batch's ids are gathered.
+    """
 
     def __init__(self, path: str):
         self.encoding = _encoding(path)
-        self.known: dict[bytes, bytes] = {}
-        self.held = 0
-
-    def chunk(self, raw: bytes) -> bytes:
-        """The ids of a chunk, as the bytes of 32-bit integers."""
-        ids = self.known.get(raw)
-        if ids is None:
-            ids = self._blankless(raw.decode("utf-8")) if len(raw) > BLANKLESS else self._ids(raw.decode("utf-8"))
-            self.held += len(ids) + len(raw) + 150
-            if self.held > CACHE_BYTES:
-                self.known.clear()
-                self.held = len(ids) + len(raw)
-            self.known[raw] = ids
-        return ids
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.int32).tobytes()
-
-    def _blankless(self, text: str) -> bytes:
+        self.width = self._widths()
+        self._forget()
+
+    def _widths(self) -> np.ndarray:
+        """How many bytes each id stands for."""
+        width = np.zeros(self.encoding.n_vocab, np.int64)
+        for token, rank in self.encoding._mergeable_ranks.items():
+            width[rank] = len(token)
+        return width
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pool = np.zeros(1 << 16, np.int32)
+        self.first, self.size, self.bytes = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.filled = 0
+
+    def _learn(self, keys: list[int], chunks: list[bytes]) -> np.ndarray:
+        """Encode chunks not met before; their slots.
+
+        Those that begin with a blank are encoded in one call, since the pre-tokenizer
+        breaks before it, and the ids are dealt out by the bytes they stand for.
+        """
+        joint = [k for k, c in enumerate(chunks) if c[0] in _BLANKS and len(c) <= BLANKLESS]
+        ids: list[np.ndarray | None] = [None] * len(chunks)
+        if joint:
+            together = self.encoding.encode_to_numpy(b"".join(chunks[k] for k in joint).decode("utf-8"), disallowed_special=()).astype(np.int32)
+            ends = np.cumsum([len(chunks[k]) for k in joint])
+            edges = np.searchsorted(np.cumsum(self.width[together]), ends, side="right")
+            for k, part in zip(joint, np.split(together, edges[:-1])):
+                ids[k] = part
+        for k, c in enumerate(chunks):
+            if ids[k] is None:
+                ids[k] = self._blankless(c.decode("utf-8")) if len(c) > BLANKLESS else self.encoding.encode_to_numpy(c.decode("utf-8"), disallowed_special=()).astype(np.int32)
+        new = np.concatenate(ids)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        slots = np.arange(self.filled + 1, self.filled + 1 + len(chunks))
+        at = int(self.first[self.filled] + self.size[self.filled])
+        while slots[-1] >= len(self.first):
+            self.first, self.size, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.bytes))
+        if at + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(new)), np.int32)])
+        self.pool[at : at + len(new)] = new
+        self.first[slots], self.size[slots], self.bytes[slots] = at + np.cumsum(sizes) - sizes, sizes, [len(c) for c in chunks]
+        self.filled = int(slots[-1])
+        self.known.update(zip(keys, slots.tolist()))
+        return slots
+
+    def _blankless(self, text: str) -> np.ndarray:
         """Encode a long chunk in steps; the open end of a step is encoded again with the next."""
         out, begin, end = [], 0, 0
         while end < len(text):
@@ -99,27 +134,38 @@ class Encoder:
             breaks = [k for k in breaks if not text[k - 1].isspace()]  # blanks before a break may belong to what follows
             sure = end if end == len(text) else breaks[-1] if breaks else begin
             if sure > begin:
-                out.append(self._ids(text[begin:sure]))
+                out += self.encoding.encode_ordinary(text[begin:sure])
                 begin = sure
-        return b"".join(out)
+        return np.array(out, np.int32)
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts; null and empty ones have no ids."""
         raws = [(t or "").encode("utf-8") for t in texts]
         joined = b"".join(raws)
+        raw = np.frombuffer(joined, np.uint8)
         ends = np.cumsum([len(r) for r in raws])
-        starts = np.unique(np.concatenate([cuts(np.frombuffer(joined, np.uint8)), ends - [len(r) for r in raws], [0]])).astype(np.int64)
-        starts = starts[starts < len(joined)]
-        edges = [*starts.tolist(), len(joined)]
-        known, chunk = self.known, self.chunk
-        ids = []
-        for a, b in zip(edges, edges[1:]):
-            raw = joined[a:b]
-            ids.append(known.get(raw) or chunk(raw))
-        sizes = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        offsets = np.concatenate([[0], total[np.searchsorted(starts, ends)]])
-        return offsets, np.frombuffer(b"".join(ids), np.int32)
+        if not len(raw):
+            return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32)
+        starts = np.unique(np.concatenate([cuts(raw), ends - [len(r) for r in raws], [0]])).astype(np.int64)
+        starts = starts[starts < len(raw)]
+        length = np.diff(np.concatenate([starts, [len(raw)]]))
+        place = np.arange(len(raw)) - np.repeat(starts, length)
+        value = np.add.reduceat((raw + np.uint64(1)) * powers(_BASE, int(length.max()))[place], starts)
+        key = mix(value + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        distinct, example, which = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.known) * 150 + 4 * self.first[self.filled] > CACHE_BYTES:
+            self._forget()
+        keys = distinct.tolist()
+        slots = np.fromiter((self.known.get(k, 0) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(self.bytes[slots] != length[example])
+        if len(new):
+            at, to = starts[example[new]].tolist(), (starts + length)[example[new]].tolist()
+            slots[new] = self._learn([keys[i] for i in new.tolist()], [joined[a:b] for a, b in zip(at, to)])
+        mine = slots[which]
+        size = self.size[mine]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(self.first[mine] - total[:-1], size) + np.arange(total[-1])]
+        return np.concatenate([[0], total[np.searchsorted(starts, ends)]]), ids
 
 
 def _encode(path: str, lengths: bool):

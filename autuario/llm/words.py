@@ -29,7 +29,8 @@ def _alnum() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base to the 0, 1, ... n - 1, modulo 2^64."""
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -65,7 +66,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     inside = codes[is_word[1:-1]].astype(np.uint64)
     starts = np.concatenate([[0], np.cumsum(length)[:-1]])
     place = np.arange(len(inside)) - np.repeat(starts, length)
-    inside *= _powers(_P, int(length.max()))[place]
+    inside *= powers(_P, int(length.max()))[place]
     return np.searchsorted(ends, first, side="right"), mix(np.add.reduceat(inside, starts) + length.astype(np.uint64) * _Q)
 
 
@@ -76,7 +77,7 @@ def sequence_hashes(doc: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         length = np.diff(np.concatenate([first, [len(doc)]]))
         place = np.arange(len(doc)) - np.repeat(first, length)
-        out[doc[first]] = mix(np.add.reduceat(word * _powers(_Q, int(length.max()))[place], first) + length.astype(np.uint64))
+        out[doc[first]] = mix(np.add.reduceat(word * powers(_Q, int(length.max()))[place], first) + length.astype(np.uint64))
     return out
 
 
