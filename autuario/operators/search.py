@@ -175,10 +175,23 @@ def snippet(df: DataFrame, id_col: str, text_col: str, order: list[Leaf], size:
     )
 
 
+def run_starts(ordered: Column) -> Column:
+    """Where the runs of a sorted, non-empty array column begin (from 1)."""
+    return F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+
+
+def run_counts(ordered: Column, starts: Column) -> Column:
+    """The distinct tokens of a sorted array column with their numbers; linear in long texts, as both columns are there already."""
+    after = F.size(starts)
+    return F.transform(starts, lambda s, i: F.struct(F.get(ordered, s - 1).alias("term"), (F.when(i + 1 < after, F.get(starts, i + 1)).otherwise(F.size(ordered) + 1) - s).alias("tf")))
+
+
 def vocabulary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``term, documents, occurrences`` over all texts; counted per document before the shuffle."""
     words = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).dropDuplicates(["id"])
-    each = words.select(F.explode(F.array_distinct("w")).alias("term"), "w").select("term", F.size(F.filter("w", lambda x: x == F.col("term"))).alias("tf"))
+    sorted_ = words.select(F.array_sort("w").alias("w")).where(F.size("w") > 0)
+    begins = sorted_.select("w", run_starts(F.col("w")).alias("s"))
+    each = begins.select(F.explode(run_counts(F.col("w"), F.col("s"))).alias("x")).select("x.term", "x.tf")
     return each.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
 
 
