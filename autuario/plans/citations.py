@@ -85,7 +85,23 @@ def reference_check(spark, d):
     return r.select("tipo", "chave", state.alias("state"), F.coalesce("resolvido", F.array_join("candidatos", "|")).alias("ids"))
 
 
+def citations_dated(spark, d):
+    """Per type: whether the date of judgment that a citation states is the cited document's."""
+    rows = table(spark, d, "document_citations").where("tipo in ('acordao', 'similar')").select("document_id", "ord", "tipo", "texto", "resolvido").distinct()
+    held = table(spark, d, "documents").select(F.col("id").alias("resolvido"), "judgment")
+    state = C.agreement(C.stated_date(F.col("texto")), F.col("judgment"))
+    return rows.join(held, "resolvido", "left").groupBy("tipo", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def pending_numbers(spark, d):
+    """National numbers cited that no document has, with how many documents cite them."""
+    cited = table(spark, d, "document_citations").where("tipo = 'acordao' and chave like 'TJSC:%'").select("document_id", F.regexp_replace("chave", "[^0-9]", "").alias("number")).where("number <> ''")
+    counts = cited.groupBy("number").agg(F.count_distinct("document_id").alias("cited_by"))
+    return counts.join(table(spark, d, "documents").where("tribunal = 'TJSC'").select(F.col("process").alias("number")), "number", "left_anti")
+
+
 QUERIES = {f.__name__: f for f in (
+    citations_dated, pending_numbers,
     section_spans, section_counts, citations_judgments, citations_provisions, citations_first, citations_resolved, citations_links, citations_summary,
     filter_citing, graph_degrees, graph_who_cites, reference_check,
 )}
@@ -105,6 +121,11 @@ _RESOLVED = f"""t as (select case when tribunal = 'STJ' then 'k|STJ:' || trim(up
 _CITED = "c as (select distinct document_id, ord, tipo, chave from document_citations)"
 
 SQL = {
+    "citations_dated": """with r as (select distinct document_id, ord, tipo, texto, resolvido from document_citations where tipo in ('acordao', 'similar')),
+ s as (select r.*, try_strptime(regexp_replace(regexp_extract(texto, '\\bj\\.?\\s*(\\d{2}[/.-]\\d{2}[/.-]\\d{4})', 1), '[/.-]', '', 'g'), '%d%m%Y')::date as said, judgment from r left join documents d on d.id = r.resolvido)
+ select tipo, case when said is null then 'not_stated' when judgment is null then 'not_held' when said = judgment then 'agrees' else 'differs' end as state, count(*) as n from s group by all""",
+    "pending_numbers": """select number, count(distinct document_id) as cited_by from (select document_id, regexp_replace(chave, '[^0-9]', '', 'g') as number from document_citations where tipo = 'acordao' and chave like 'TJSC:%')
+ where number <> '' and number not in (select process from documents where tribunal = 'TJSC' and process is not null) group by number""",
     "section_spans": f'with {_SPANS} select id, name, start, "end", digest from s',
     "section_counts": f'with {_SPANS} select name, count(*) as n, sum("end" - start) as characters from s group by name',
     "citations_first": "select document_id, tipo, case when chave <> '' then chave else texto end as cited, min(ord) as ord from document_citations group by 1, 2, 3",

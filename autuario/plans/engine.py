@@ -202,5 +202,16 @@ class Engine:
         r = C.resolve(keyed, self._table("documents"), self._table("precedents"))
         state: Column = F.when(F.col("chave").isNull(), "unread").when(F.col("resolvido").isNotNull(), "held").when(F.col("candidatos").isNotNull(), "several").otherwise("not_held")
         found = {x["ord"]: x.asDict() for x in r.select("ord", "chave", state.alias("state"), "resolvido", "candidatos").collect()}
-        return [{"reference": t, **{k: v for k, v in found[i].items() if k != "ord"}} for i, t in enumerate(references)]
+        ids = [(i, t, [found[i]["resolvido"]] if found[i]["resolvido"] else found[i]["candidatos"]) for i, t in enumerate(references) if found[i]["resolvido"] or found[i]["candidatos"]]
+        dates = {}
+        if ids:
+            asked = self.spark.createDataFrame(ids, "ref int, texto string, ids array<string>")
+            dates = {x["ref"]: x for x in C.singled_out(asked, self._table("documents")).collect()}
+        out = []
+        for i, t in enumerate(references):
+            x = {"reference": t, **{k: v for k, v in found[i].items() if k != "ord"}, "date": dates[i]["state"] if i in dates else None}
+            if x["state"] == "several" and i in dates and dates[i]["id"]:  # the stated date tells one apart
+                x |= {"state": "held", "resolvido": dates[i]["id"]}
+            out.append(x)
+        return out
 

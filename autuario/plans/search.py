@@ -171,7 +171,26 @@ def filter_contains_folded(spark, d):
     return rows.select("id", "relator").distinct()
 
 
+def dense_nearest(spark, d):
+    """The ten vectors nearest to the first one by cosine."""
+    from autuario.operators.fusion import nearest
+
+    vectors = table(spark, d, "embeddings")
+    query = vectors.orderBy("vec_id").select("embedding").first()[0]
+    return nearest(vectors, "vec_id", "embedding", query, 10).select("id", F.round("similarity", 5).alias("similarity"))
+
+
+def fused_ranks(spark, d):
+    """Two lexical rankings of twenty, of all terms and of a phrase, fused by reciprocal ranks."""
+    from autuario.operators.fusion import reciprocal_ranks
+
+    a, b = (_top(spark, d, parse_simple(q), k=20) for q in (RANKED, PHRASE))
+    fused = reciprocal_ranks([(a, F.col("score").desc(), 1.0), (b, F.col("score").desc(), 0.5)], 10)
+    return fused.select("id", F.round("score", 9).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (
+    dense_nearest, fused_ranks,
     search_rank_or, search_rank_phrase, search_rank_prefix, search_boolean_nested, search_date_order, search_broadened, search_term_counts, search_total,
     search_empty_reason, search_index_rank, search_snippets, vocab_df, similar_terms, similar_docs, precedent_search, index_integrity, filter_contains_folded,
 )}
@@ -218,7 +237,14 @@ _TERMS = f"""with {_W}, n as (select count(*) as n from w), mine as (select term
  df as (select term, count(*) as documents from (select unnest(list_distinct(w)) as term from w) where term in (select term from mine) group by term),
  terms as (select term, round(tf * ln(n / documents), 6) as weight from df join mine using (term), n where documents >= 5 and documents <= 0.25 * n order by round(tf * ln(n / documents), 9) desc, term limit 25)"""
 
+def _sql_page(tree, k: int) -> str:
+    return f"({_sql_top(tree)[: -len('limit 8')]} limit {k})"
+
+
 SQL = {
+    "dense_nearest": "select vec_id as id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)), 5) as similarity from embeddings order by round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)), 9) desc, vec_id limit 10",
+    "fused_ranks": f"""with a as (select id, 1.0 / (60 + row_number() over (order by score desc, id)) as part from {_sql_page(_OR, 20)}), b as (select id, 0.5 / (60 + row_number() over (order by score desc, id)) as part from {_sql_page(parse_simple(PHRASE), 20)})
+ select id, round(sum(part), 9) as score from (select * from a union all select * from b) group by id order by round(sum(part), 12) desc, id limit 10""",
     "search_rank_or": _sql_top(_OR, "tribunal = 'TJSC' and organ is not null"),
     "search_rank_phrase": _sql_top(parse_simple(PHRASE)),
     "search_rank_prefix": _sql_top(parse_advanced(PREFIX.replace(" ", " OU "))),

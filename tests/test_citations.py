@@ -52,3 +52,20 @@ def test_resolution_and_links(spark, rows):
     assert rows(links(got)) == [("A", "B", True), ("A", "C", True), ("B", "A", False)]
     first = first_occurrences(cites.withColumn("texto", cites.tipo))
     assert first.count() == 8
+
+
+def test_stated_dates_tell_candidates_apart(spark, rows):
+    from pyspark.sql import functions as F
+
+    from autuario.operators.citations import singled_out, stated_date, stated_judge
+
+    df = spark.createDataFrame([("REsp 1, rel. Min. Ânia Sá, j. 02/01/2020",), ("j. 31-02-2020",), ("nada",), (None,)], "t string")
+    got = [(str(r[0]), r[1]) for r in df.select(stated_date(F.col("t")), stated_judge(F.col("t"))).collect()]
+    assert got == [("2020-01-02", "ANIA SA"), ("None", None), ("None", None), ("None", None)]
+    asked = spark.createDataFrame([
+        (1, "j. 02/01/2020", ["a", "b"]), (2, "sem data", ["a", "b"]), (3, "j. 09/09/2020", ["a"]), (4, "j. 02/01/2020", ["a"]), (5, "x", ["c"]), (6, "j. 02/01/2020", ["a", "d"]), (7, "j. 02/01/2020", ["c", "a"]),
+    ], "ref int, texto string, ids array<string>")
+    documents = spark.createDataFrame([("a", "2020-01-02"), ("b", "2021-01-02"), ("c", None), ("d", "2020-01-02")], "id string, j string").selectExpr("id", "cast(j as date) judgment")
+    assert rows(singled_out(asked, documents)) == [
+        (1, "a", "agrees"), (2, None, "ambiguous"), (3, "a", "differs"), (4, "a", "agrees"), (5, "c", "not_stated"), (6, None, "ambiguous"), (7, "a", "agrees"),
+    ]

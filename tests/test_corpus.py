@@ -116,3 +116,15 @@ def test_streams(spark, tmp_path, rows):
     got = streams.latest_stream(spark, streams.table_stream(spark, str(tmp_path / "s"), 1))
     assert rows(got)[0] == ("d1", "r0", "h0") and got.count() == 4
     _ = io
+
+
+def test_fusion(spark):
+    from pyspark.sql import functions as F
+
+    from autuario.operators.fusion import nearest, reciprocal_ranks
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [2.0, 0.0]), (6, [1.0])], "id long, v array<float>")
+    assert [r["id"] for r in nearest(vectors, "id", "v", [1.0, 0.0], 3).collect()] == [1, 5, 2]
+    a, b = (spark.createDataFrame(x, "id string, s double") for x in ([("x", 3.0), ("y", 2.0)], [("y", 9.0), ("z", 1.0)]))
+    got = reciprocal_ranks([(a, F.col("s").desc(), 1.0), (b, F.col("s").desc(), 1.0)], 5).collect()
+    assert [r["id"] for r in got] == ["y", "x", "z"] and abs(got[0]["score"] - (1 / 62 + 1 / 61)) < 1e-12

@@ -73,3 +73,16 @@ def test_references(engine):
     assert [(x["state"], x["resolvido"]) for x in got] == [("held", "a"), ("held", "STJ:sumula:7"), ("not_held", None), ("unread", None)]
     with pytest.raises(EngineError):
         engine.check_references([])
+
+
+def test_commands(engine, spark, capsys):
+    import json
+
+    from autuario.__main__ import main
+
+    assert main([engine.root, "search", "usucapião", "--limit", "2"]) == 0
+    assert json.loads(capsys.readouterr().out)["items"][0]["id"] == "d"
+    assert main([engine.root, "document", "a"]) == 0 and json.loads(capsys.readouterr().out)["judgment"] == "2010-01-01"
+    assert main([engine.root, "coverage"]) == 0 and len(json.loads(capsys.readouterr().out)) == 2
+    assert main([engine.root, "check", "REsp 100"]) == 0 and json.loads(capsys.readouterr().out)[0]["state"] == "held"
+    assert main([engine.root, "search", "x OU", "--advanced"]) == 1 and json.loads(capsys.readouterr().out)["error"] == "consulta_invalida"
