@@ -46,7 +46,11 @@ def measure(df: DataFrame, id_col: str, text_col: str, tree: Leaf | Node) -> Dat
     """
     found = leaves(tree)
     words = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
-    return words.select("id", F.size("w").alias("length"), F.array(*[_hits(F.col("w"), x) for x in found]).alias("hits")).dropDuplicates(["id"])
+    single = lambda x: len(x.tokens) == 1 and not x.prefix
+    terms = [x.tokens[0] for x in found if single(x)]
+    words = words.select("id", "w", F.filter("w", lambda x: x.isin(terms)).alias("own")) if terms else words  # the text is gone through once for all single terms
+    counted = F.array(*[_hits(F.col("own" if single(x) else "w"), x) for x in found])
+    return words.select("id", F.size("w").alias("length"), counted.alias("hits")).dropDuplicates(["id"])
 
 
 def matches(tree: Leaf | Node, order: list[Leaf]) -> Column:
@@ -96,14 +100,15 @@ def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def write_index(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
-    """Write the index sorted by term and id, so that a query's terms are in few row groups.
+    """Write the index sorted by term and id, so that a query's terms are in few row groups, and the corpus's size.
 
     The range partitioning includes the id: a term of a third of all texts is spread.
     """
     spark = df.sparkSession
     p = postings(df, id_col, text_col).select("term", "id", "tf", "positions", "length")
     p.repartitionByRange(partitions(spark), "term", "id").sortWithinPartitions("term", "id").write.mode("errorifexists").parquet(f"{path}/postings")
-    df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("length")).dropDuplicates(["id"]).write.parquet(f"{path}/lengths")
+    lengths = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("length")).dropDuplicates(["id"])
+    lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).coalesce(1).write.parquet(f"{path}/size")
 
 
 def _shifted(positions: Column, by: int) -> Column:
@@ -111,30 +116,38 @@ def _shifted(positions: Column, by: int) -> Column:
 
 
 def measure_index(spark: SparkSession, path: str, tree: Leaf | Node) -> DataFrame:
-    """As ``measure``, from a written index; documents without any leaf's tokens have no hits."""
+    """As ``measure``, from a written index, of the documents that have a token of the query; reads its terms' row groups only."""
     found = leaves(tree)
-    lengths = spark.read.parquet(f"{path}/lengths")
-    read = spark.read.parquet(f"{path}/postings")
     wanted = F.lit(False)
     for leaf in found:
         for k, t in enumerate(leaf.tokens):
             last = leaf.prefix and k == len(leaf.tokens) - 1
             wanted = wanted | (F.col("term").startswith(t) if last else F.col("term") == t)
-    spots = read.where(wanted)
 
     def hits(leaf: Leaf) -> Column:
         if not leaf.tokens:
             return F.lit(0)
+        if len(leaf.tokens) == 1:
+            is_term = F.col("term").startswith(leaf.tokens[0]) if leaf.prefix else F.col("term") == leaf.tokens[0]
+            return F.coalesce(F.sum(F.when(is_term, F.col("tf"))), F.lit(0)).cast("int")
         sets = []
         for k, t in enumerate(leaf.tokens):
             last = leaf.prefix and k == len(leaf.tokens) - 1
             is_term = F.col("term").startswith(t) if last else F.col("term") == t
             sets.append(_shifted(F.flatten(F.collect_list(F.when(is_term, F.col("positions")))), k))
-        return F.size(reduce(F.array_intersect, sets)).alias("h")
+        return F.size(reduce(F.array_intersect, sets))
 
-    per_document = spots.groupBy("id").agg(F.array(*[hits(x) for x in found]).alias("hits"))
-    none = F.array(*[F.lit(0) for _ in found])
-    return lengths.join(per_document, "id", "left").select("id", "length", F.coalesce("hits", none).alias("hits"))
+    spots = spark.read.parquet(f"{path}/postings").where(wanted)
+    return spots.groupBy("id").agg(F.first("length").alias("length"), F.array(*[hits(x) for x in found]).alias("hits"))
+
+
+def ranked_index(spark: SparkSession, path: str, tree: Leaf | Node) -> DataFrame:
+    """As ``ranked``, from a written index."""
+    order = leaves(tree)
+    measured = measure_index(spark, path, tree)
+    size = spark.read.parquet(f"{path}/size").first()
+    _, _, documents = statistics(measured, len(order))
+    return measured.where(matches(tree, order)).select("id", bm25((size["n"], size["mean"] or 0.0, documents)).alias("score"), "hits")
 
 
 def present_terms(order: list[Leaf]) -> Column:

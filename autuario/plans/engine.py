@@ -172,8 +172,8 @@ class Engine:
         items = [r.asDict() for r in rows.orderBy(F.col("publication").desc_nulls_last(), "id").limit(limit).collect()]
         return Page(items, rows.count())
 
-    def document(self, id: str, block: int = 0, size: int = BLOCK) -> dict:
-        """A document's metadata and one block of its text; the blocks in order are the text."""
+    def document(self, id: str, block: int = 0, size: int = BLOCK, citations_from: int = 0) -> dict:
+        """A document's metadata, one block of its text (the blocks in order are the text) and a page of its citations."""
         found = self._table("documents").where(F.col("id") == id).limit(1)
         n = F.greatest(F.ceil(F.length("text") / size), F.lit(1))
         row = found.select(*[c for c in found.columns if c != "text"], n.alias("blocks"), F.substring("text", block * size + 1, size).alias("part")).first()
@@ -182,7 +182,9 @@ class Engine:
         if row["blocks"] is not None and not 0 <= block < row["blocks"]:
             raise EngineError("bloco_invalido", f"The text has {row['blocks']} blocks.")
         out = row.asDict()
-        out["citations"] = [r.asDict() for r in self._table("document_citations").where(F.col("document_id") == id).select("ord", "tipo", "chave", "resolvido").distinct().orderBy("ord").limit(200).collect()]
+        cites = self._table("document_citations").where(F.col("document_id") == id).select("ord", "tipo", "chave", "resolvido").distinct()
+        out["citations_total"] = cites.count()
+        out["citations"] = [r.asDict() for r in cites.orderBy("ord", "tipo", "chave").offset(citations_from).limit(MOST_ITEMS).collect()]  # a page of them
         return out
 
     def coverage(self, tribunal: str | None = None) -> DataFrame:

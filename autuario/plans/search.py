@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from autuario.functions.text import folded, tokens
 from autuario.operators import search as S
 from autuario.plans.language import Leaf, Node, broadened, leaves, parse_advanced, parse_simple
-from autuario.runtime import checkpoint_root, cut
+from autuario.runtime import checkpoint_root, cut, is_kept, kept
 from autuario.sources.tables import table
 
 RANKED, PHRASE, PREFIX = "partilha de bens pensão mensal", '"partilha de bens"', "partilh* usucap*"
@@ -101,13 +101,24 @@ def search_empty_reason(spark, d):
     return n.select("total", "unfiltered", reason.alias("reason"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> str:
+    """The written index of the ementas, made on first use in an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES or not is_kept(_INDEXES[key]):
+        path = f"{checkpoint_root(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        S.write_index(_ementas(spark, d), "id", "ementa", path)
+        kept(spark, path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 def search_index_rank(spark, d):
-    """The ranked phrase query from a written index."""
+    """The ranked query of a phrase and a word from a written index."""
     tree = parse_simple('"partilha de bens" usucapião')
-    path = tempfile.mktemp(prefix="index-", dir="").lstrip("/")
-    path = f"{checkpoint_root(spark).rstrip('/')}/{path}"
-    S.write_index(_ementas(spark, d), "id", "ementa", path)
-    found = S.ranked(S.measure_index(spark, path, tree), tree).join(_documents(spark, d), "id")
+    found = S.ranked_index(spark, index_of(spark, d), tree).join(_documents(spark, d), "id")
     return found.orderBy(F.round("score", 6).desc(), F.col("publication").desc_nulls_last(), "id").limit(8).select("id", F.round("score", 6).alias("score"), "publication")
 
 

@@ -40,10 +40,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _TABLES.append((spark, path))
+    kept(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, path: str) -> None:
+    """Let ``drop_tables`` delete a folder, too."""
+    _TABLES.append((spark, path))
+
+
+def is_kept(path: str) -> bool:
+    """Whether a folder given to ``kept`` is still there."""
+    return any(p == path for _, p in _TABLES)
+
+
 @atexit.register
 def drop_tables() -> None:
     """Delete every table ``cut`` has written and that no result reads any more."""
