@@ -123,13 +123,13 @@ class Engine:
         rows, tree, measured = self.search_df(query, advanced=advanced, order=order, similar_to=similar_to, **filters)
         rows = cut(rows, "engine-matches")
         total, wide = rows.count(), False
-        if not total and tree is not None and isinstance(tree, Node) and tree.kind == "and" and order != "relevance":
+        if not total and not advanced and isinstance(tree, Node) and tree.kind == "and" and order != "relevance":
             wider = broadened(tree)
-            found = leaves(wider)
+            found = leaves(tree)  # what was measured
             more = measured.where(S.matches(wider, found)).select("id", S.bm25(S.statistics(measured, len(found))).alias("score"), "hits").join(self._filtered(**filters), "id")
             more = cut(more, "engine-matches")
             if n := more.count():
-                rows, total, wide, tree = more, n, True, wider
+                rows, total, wide = more, n, True
         if order == "relevance":
             by = [F.round("score", 9).desc(), F.col("publication").desc_nulls_last(), F.col("id").asc()]
         else:

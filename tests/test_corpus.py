@@ -1,4 +1,3 @@
-import io
 import json
 import zipfile
 
@@ -115,7 +114,6 @@ def test_streams(spark, tmp_path, rows):
         spark.createDataFrame([("d1", f"r{k}", f"h{k}", f"{2 - k}"), (f"d2{k}", "r", "h", "0")], "document_id string, resource_id string, hash string, rank_key string").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
     got = streams.latest_stream(spark, streams.table_stream(spark, str(tmp_path / "s"), 1))
     assert rows(got)[0] == ("d1", "r0", "h0") and got.count() == 4
-    _ = io
 
 
 def test_fusion(spark):

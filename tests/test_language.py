@@ -34,7 +34,8 @@ def test_simple():
     assert show(parse_simple("partilha de bens", ranked=False)) == "(partilha and de and bens)"
     assert show(parse_simple("de que")) == "(de and que)"
     assert show(parse_simple('"partilha de bens"')) == "partilha de bens"
-    assert show(broadened(parse_simple("a1 b1", ranked=False))) == "(a1 or b1)"
+    assert show(parse_simple("não há seu direito à prova")) == "(direito or prova)"
+    assert show(broadened(parse_simple("a1 de b1", ranked=False))) == "(a1 or b1)" and show(broadened(parse_simple("de que", ranked=False))) == "(de or que)"
     assert leaves(None) == [] and isinstance(parse_advanced("a a"), Node) and len(leaves(parse_advanced("a a"))) == 1
 
 
