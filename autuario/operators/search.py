@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from autuario.functions.text import tokens
 from autuario.plans.language import Leaf, Node, leaves
-from autuario.runtime import cut, partitions
+from autuario.runtime import cut, partitions, spread
 
 #: Parameters of BM25, and its least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -39,13 +39,19 @@ def _hits(words: Column, leaf: Leaf) -> Column:
     return F.when(F.size(words) >= len(t), F.size(spots)).otherwise(0)
 
 
+def _words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, w``: each text's tokens."""
+    texts = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return spread(texts, "id").select("id", tokens(F.col("text")).alias("w"))
+
+
 def measure(df: DataFrame, id_col: str, text_col: str, tree: Leaf | Node) -> DataFrame:
     """``id, length, hits``: each document's number of tokens and array of hits per leaf.
 
     Null texts have no row; a document delivered twice has one.
     """
     found = leaves(tree)
-    words = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+    words = _words(df, id_col, text_col)
     single = lambda x: len(x.tokens) == 1 and not x.prefix
     terms = [x.tokens[0] for x in found if single(x)]
     words = words.select("id", "w", F.filter("w", lambda x: x.isin(terms)).alias("own")) if terms else words  # the text is gone through once for all single terms
@@ -93,10 +99,15 @@ def best_first(df: DataFrame, date: str = "publication") -> list[Column]:
 
 
 def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``term, id, tf, positions, length``: the inverted index of whole texts."""
-    words = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).dropDuplicates(["id"])
-    each = words.select("id", F.size("w").alias("length"), F.posexplode("w").alias("pos", "term"))
-    return each.groupBy("id", "length", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """``term, id, tf, positions, length``: the inverted index of whole texts, made within the row."""
+    words = _words(df, id_col, text_col).dropDuplicates(["id"]).where(F.size("w") > 0)
+    placed = words.select("id", F.size("w").alias("length"), F.array_sort(F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("pos")))).alias("s"))
+    term = lambda i: F.get("s", i)["term"]
+    begun = placed.select("*", F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (term(i - 1) != term(i - 2))).alias("a"))
+    after = lambda i: F.when(i + 1 < F.size("a"), F.get("a", i + 1)).otherwise(F.col("length") + 1)
+    runs = F.transform("a", lambda s, i: F.struct(term(s - 1).alias("term"), F.transform(F.slice("s", s, after(i) - s), lambda x: x["pos"]).alias("positions")))
+    each = begun.select("id", "length", F.explode(runs).alias("x"))
+    return each.select("x.term", "id", F.size("x.positions").alias("tf"), "x.positions", "length")
 
 
 def write_index(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
@@ -105,9 +116,8 @@ def write_index(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
     The range partitioning includes the id: a term of a third of all texts is spread.
     """
     spark = df.sparkSession
-    p = postings(df, id_col, text_col).select("term", "id", "tf", "positions", "length")
-    p.repartitionByRange(partitions(spark), "term", "id").sortWithinPartitions("term", "id").write.mode("errorifexists").parquet(f"{path}/postings")
-    lengths = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("length")).dropDuplicates(["id"])
+    postings(df, id_col, text_col).repartitionByRange(partitions(spark), "term", "id").sortWithinPartitions("term", "id").write.mode("errorifexists").parquet(f"{path}/postings")
+    lengths = _words(df, id_col, text_col).select("id", F.size("w").alias("length")).dropDuplicates(["id"])
     lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).coalesce(1).write.parquet(f"{path}/size")
 
 
@@ -201,7 +211,7 @@ def run_counts(ordered: Column, starts: Column) -> Column:
 
 def vocabulary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``term, documents, occurrences`` over all texts; counted per document before the shuffle."""
-    words = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).dropDuplicates(["id"])
+    words = _words(df, id_col, text_col).dropDuplicates(["id"])
     sorted_ = words.select(F.array_sort("w").alias("w")).where(F.size("w") > 0)
     begins = sorted_.select("w", run_starts(F.col("w")).alias("s"))
     each = begins.select(F.explode(run_counts(F.col("w"), F.col("s"))).alias("x")).select("x.term", "x.tf")
@@ -212,7 +222,7 @@ def seed_terms(df: DataFrame, id_col: str, text_col: str, seed: str, most: int =
     """``term, weight``: the seed document's terms by tf-idf: letters only, three or more, neither rare nor common."""
     own = df.where((F.col(id_col) == seed) & F.col(text_col).isNotNull()).select(tokens(F.col(text_col)).alias("w")).limit(1)
     mine = own.select(F.explode("w").alias("term")).where(F.col("term").rlike(r"^\p{L}{3,}$")).groupBy("term").agg(F.count("*").alias("tf"))
-    words = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w")).dropDuplicates(["id"])
+    words = _words(df, id_col, text_col).dropDuplicates(["id"])
     held = words.select("id", F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(mine.select("term")), "term")  # the terms of one document
     n = df.where(F.col(text_col).isNotNull()).select(id_col).distinct().count()
     counts = held.groupBy("term").agg(F.count("*").alias("documents")).where((F.col("documents") >= least_documents) & (F.col("documents") <= share * n))

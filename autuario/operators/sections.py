@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from autuario.functions.text import folded
+from autuario.runtime import spread
 
 # The headings, folded, and the section each opens.
 HEADINGS = {
@@ -38,7 +39,8 @@ def sections(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     named = F.transform("p", lambda x, i: F.when(i == 0, "cabecalho").otherwise(
         F.regexp_extract(folded(F.substring(F.ltrim(x), 1, 60)), "(" + "|".join(HEADINGS) + ")", 1)))
-    cut = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), parts(F.col(text_col)).alias("p"), F.sha2(F.col(text_col), 256).alias("digest"))
+    texts = spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    cut = texts.select("id", parts(F.col("text")).alias("p"), F.sha2("text", 256).alias("digest"))
     titles = F.create_map(*[x for k, v in HEADINGS.items() for x in (F.lit(k), F.lit(v))])
     listed = cut.where(F.size("p") > 1).withColumn("n", F.transform(named, lambda x: F.coalesce(titles[x], x))).where(F.size(F.array_distinct("n")) == F.size("n"))
     each = listed.select("id", "digest", "p", F.posexplode("n").alias("i", "name"))

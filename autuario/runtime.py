@@ -66,5 +66,18 @@ def drop_tables() -> None:
             pass
 
 
+#: A table up to this size that is read in a few splits is dealt to all cores before costly work on its texts.
+SMALL_TABLE = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table of few splits, dealt by ``key`` to all cores; any other as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_TABLE or df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
