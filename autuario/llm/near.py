@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from autuario.llm.copies import copy_digest
 from autuario.llm.darts import EMPTY, signatures
 from autuario.llm.words import mix, pieces, sequence_hashes, shingle_hashes, word_hashes
-from autuario.runtime import cut
+from autuario.runtime import cut, spread
 
 #: Signature bits kept beside each band, and how many of them must agree for a pair to be looked at.
 BITS = 128
@@ -256,7 +256,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     """
     bands, rows, least = plan_bands(threshold)
     texts = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
-    signed = cut(texts.mapInArrow(_sign(shingle, bands, rows), _SIGNED), "near-signed")
+    signed = cut(spread(texts, "id").mapInArrow(_sign(shingle, bands, rows), _SIGNED), "near-signed")
     found = cut(candidates(signed, least), "near-candidates")
     ends = found.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
     few = ends.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

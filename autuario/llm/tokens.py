@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autuario.llm.words import mix, pieces, powers
+from autuario.runtime import spread
 
 # Fixed value: the pre-tokenizer of the vocabulary byte_bpe_50k.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -201,4 +202,4 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, path: str | None = N
 
 def _run(df: DataFrame, id_col: str, text_col: str, path: str | None, lengths: bool, kind: str) -> DataFrame:
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_encode(path or vocabulary(), lengths), f"id {rows.schema['id'].dataType.simpleString()}, ids {kind}")
+    return spread(rows, "id").mapInArrow(_encode(path or vocabulary(), lengths), f"id {rows.schema['id'].dataType.simpleString()}, ids {kind}")
