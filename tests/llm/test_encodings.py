@@ -84,3 +84,30 @@ def test_held_out_accuracy():
                 right += kind is not None and restored in s
     clean = [w.decode() for s in SENTENCES + DECOYS for w in E.foreign_words(s)]
     assert right >= 0.9 * total and not [w for w in clean if model.judge(w)[0] in model.active]
+
+
+def test_verdicts_rest_on_all_documents(spark, monkeypatch):
+    """What the bigrams' sample does not hold counts as well: lost characters, and restorations of words that recur."""
+    monkeypatch.setattr(E, "TRAIN_DOCUMENTS", 200)
+    rows = [(k, text) for k, text, _ in documents()]
+    names = [a + b for a in ("bar", "cor", "dal", "fen") for b in ("mi", "ru", "to", "ve", "sa")]
+    rows += [(1000 + k, f"A {w}ção foi paga.") for k, w in enumerate(names * 2)]  # each twice
+    lost = {2000 + k: (f"A {w}??o foi paga.", f"A {w}ção foi paga.") for k, w in enumerate(names)}
+    again = {3000 + k: (f"O {w}rão foi lido.".replace("ã", "Ã£"), f"O {w}rão foi lido.") for k, w in enumerate(names * 8)}
+    rows += [(4000 + k, f"O {w}rão foi lido.") for k, w in enumerate(names * 2)]  # each restoration twice
+    planted = lost | again
+    rows += [(k, text) for k, (text, _) in planted.items()]
+    got = {r["id"]: r["restored"] for r in E.garbled(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    assert got == {k: original for k, (_, original) in planted.items()}
+
+
+def test_distributed_fit_is_the_fit_in_memory(spark):
+    draw = random.Random(4)
+    texts = [E.garble(t, draw.choice(CHAINS)) if k % 9 == 2 else t for k, t, _ in documents(200, 4)]
+    model, verdicts, forms = E.fit(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    words = Counter(w.decode() for t in texts for w in E.foreign_words(t))
+    whole = E.train(words)
+    judged = {w: v for w in words if (v := whole.judge(w))[0] is not None}
+    assert judged and {r["word"]: (r["kind"], r["restored"]) for r in verdicts.collect()} == judged
+    assert model.active == whole.active and model.letters == whole.letters
+    assert {r["whole"] for r in forms.collect()} - {""} <= whole.words
