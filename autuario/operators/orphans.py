@@ -31,7 +31,7 @@ class OrphanLedger:
 
     index: DataFrame
     pending: DataFrame
-    settled: DataFrame
+    settled: DataFrame | None
 
     @staticmethod
     def empty(spark: SparkSession, refs_like: DataFrame) -> "OrphanLedger":
@@ -39,14 +39,20 @@ class OrphanLedger:
         return OrphanLedger(spark.createDataFrame([], INDEX_SCHEMA), none, none)
 
     @staticmethod
-    def first(refs: DataFrame, parents: DataFrame, keep_settled: bool = False) -> "OrphanLedger":
-        """The ledger after a first load: parents arrive, then all references probe them."""
+    def first(refs: DataFrame, parents: DataFrame, keep_settled: bool = True) -> "OrphanLedger":
+        """The ledger after a first load: parents arrive, then all references probe them.
+
+        Where only the orphans are wanted, ``keep_settled`` saves the settled references;
+        such a ledger takes no steps.
+        """
         index = parents.select(KEY).where(F.col(KEY).isNotNull())
         pending, settled = _probe(refs, index, keep_settled)
-        return OrphanLedger(index, pending, settled if keep_settled else refs.limit(0))
+        return OrphanLedger(index, pending, settled)
 
     def step(self, refs: DataFrame | None = None, arrived: DataFrame | None = None, deleted: DataFrame | None = None) -> "OrphanLedger":
         """Apply one batch: deletions first, then arrivals, then new references."""
+        if self.settled is None:
+            raise ValueError("this ledger has not kept the settled references, which a deletion would reopen")
         index, pending, settled = self.index, self.pending, self.settled
         if deleted is not None:
             gone = deleted.select(KEY).distinct()

@@ -15,7 +15,7 @@ P2_COLUMNS = ("source_table", "source_field", "document_id", "ord", "missing_ref
 
 def _ledger(spark: SparkSession, d: str) -> OrphanLedger:
     refs = corpus_references(table(spark, d, "document_citations"), table(spark, d, "citation_links"))
-    return OrphanLedger.first(refs, corpus_parents(table(spark, d, "documents"), table(spark, d, "precedents")))
+    return OrphanLedger.first(refs, corpus_parents(table(spark, d, "documents"), table(spark, d, "precedents")), keep_settled=False)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from autuario.operators.orphans import OrphanLedger, corpus_parents, corpus_references
 from autuario.operators.skew import counted_keys, left_join_counted, semi_join_counted
 
@@ -55,3 +57,12 @@ def test_reference_cases(spark, rows):
     assert rows(ledger.pending.select("source_field", "ord", "missing_ref")) == sorted([
         ("chave", 1, "STJ:sumula:1"), ("resolvido", 2, "X:1"), ("chave", 4, "TJSC:0000001-02.2020.8.24.0001"), ("resolvido", 4, ""), ("chave", 7, "STJ:RESP:9"), ("cited_id", -1, "gone"),
     ], key=str)
+
+
+def test_deletion_after_the_first_load_reopens(spark, rows):
+    refs = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], REF)
+    ledger = OrphanLedger.first(refs, frame(spark, ["a"])).step(deleted=frame(spark, ["a"]))
+    assert rows(ledger.pending) == [("a", "x", 1), ("b", "y", 2)]
+    assert rows(ledger.step(arrived=frame(spark, ["b"])).pending) == [("a", "x", 1)]
+    with pytest.raises(ValueError, match="settled"):
+        OrphanLedger.first(refs, frame(spark, ["a"]), keep_settled=False).step(deleted=frame(spark, ["a"]))
