@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count
 from math import log
 
 import pyarrow as pa
@@ -248,7 +249,7 @@ def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column("form"), b.column("true"), pa.array(score, pa.float64())], names=["form", "true", "score"]).filter(pa.array([x is not None for x in score]))
 
 
-def attribute(df: DataFrame, name_col: str, max_rounds: int = 20) -> DataFrame:
+def attribute(df: DataFrame, name_col: str, max_rounds: int | None = None) -> DataFrame:
     """``spelling, person``: each distinct non-empty spelling with its person's true form.
 
     Spellings are counted first, so the work follows their number, not the rows'.
@@ -279,7 +280,9 @@ def attribute(df: DataFrame, name_col: str, max_rounds: int = 20) -> DataFrame:
     scored = met.join(said, "form").join(true, "true").select("form", "true", "said", "true_parts", "common", "n").mapInArrow(_score_batches, "form string, true string, score double")
     best = scored.groupBy("form").agg(F.min_by("true", F.struct(-F.col("score"), F.col("true"))).alias("true"))
     link = cut(forms.select("form").join(best, "form", "left").select("form", F.coalesce("true", "form").alias("root")), "names-links")
-    for _ in range(max_rounds):
+    for k in count():  # a form's root only rises in rank, so this ends
+        if k == max_rounds:
+            raise RuntimeError(f"roots still move after {max_rounds} rounds")
         up = link.select(F.col("form").alias("root"), F.col("root").alias("up"))
         new = cut(link.join(up, "root").select("form", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "names-links")
         link = new.select("form", "root")

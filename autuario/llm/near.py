@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -297,17 +298,20 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float, shin
     return pairs.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity").distinct()
 
 
-def near_groups(df: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, max_rounds: int = 60) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, max_rounds: int | None = None) -> DataFrame:
     """``id, group_id``: connected groups of classes linked by similarity; group_id is the group's smallest id.
 
     Labels travel along links and are then shortened to their label's label, so
-    rounds grow with the logarithm of a chain's length. Ids without any similar
-    text, or copy, are groups of one.
+    rounds grow with the logarithm of a chain's length; they go on until no label
+    moves, and if ``max_rounds`` are given and don't suffice, there is no result but
+    an error. Ids without any similar text, or copy, are groups of one.
     """
     classes, links = near_duplicates(df, id_col, text_col, threshold, shingle)
     edges = cut(links.select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(links.select(F.col("hb").alias("a"), F.col("ha").alias("b"))), "near-edges")
     label = cut(edges.select("a").distinct().withColumn("label", F.col("a")), "near-label")
-    for _ in range(max_rounds):
+    for k in count():  # a label only falls, so this ends
+        if k == max_rounds:
+            raise RuntimeError(f"labels still move after {max_rounds} rounds")
         offered = edges.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("offer"))
         lower = label.join(offered, "a", "left").select("a", "label", F.least("label", F.coalesce("offer", "label")).alias("new"))
         jump = label.select(F.col("a").alias("new"), F.col("label").alias("far"))

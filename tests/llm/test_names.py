@@ -45,5 +45,11 @@ def test_spellings_of_one_person_are_linked(spark, rows):
     assert rows(N.same_person(df, "relator")) == want
 
 
+def test_roots_are_found_or_an_error(spark):
+    df = spark.createDataFrame([(s,) for s in PEOPLE[1]], "relator string")
+    with pytest.raises(RuntimeError, match="still move"):
+        N.attribute(df, "relator", max_rounds=0)
+
+
 def test_empty_table(spark, rows):
     assert rows(N.same_person(spark.createDataFrame([], "relator string"), "relator")) == []

@@ -81,6 +81,12 @@ def test_groups_are_connected_components(spark):
     assert got == {i: root(i) for i in parent}
 
 
+def test_groups_are_whole_or_an_error(spark):
+    df = spark.createDataFrame(corpus(3), SCHEMA)
+    with pytest.raises(RuntimeError, match="still move"):
+        near_groups(df, "id", "ementa", 0.6, 3, max_rounds=1)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert near_pairs(df, "id", "ementa", 0.6, 3).collect() == [] and near_groups(df, "id", "ementa", 0.6, 3).collect() == []
