@@ -191,6 +191,14 @@ def dense_nearest(spark, d):
     return nearest(vectors, "vec_id", "embedding", query, 10).select("id", F.round("similarity", 5).alias("similarity"))
 
 
+def dense_nearest_each(spark, d):
+    """For every vector whose id is divisible by 50, the ten nearest of all vectors by cosine."""
+    from autuario.operators.fusion import nearest_of_each
+
+    vectors = table(spark, d, "embeddings")
+    return nearest_of_each(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", 10).select("query", "id", F.round("similarity", 5).alias("similarity"))
+
+
 def fused_ranks(spark, d):
     """Two lexical rankings of twenty, of all terms and of a phrase, fused by reciprocal ranks."""
     from autuario.operators.fusion import reciprocal_ranks
@@ -201,7 +209,7 @@ def fused_ranks(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    dense_nearest, fused_ranks,
+    dense_nearest, dense_nearest_each, fused_ranks,
     search_rank_or, search_rank_phrase, search_rank_prefix, search_boolean_nested, search_date_order, search_broadened, search_term_counts, search_total,
     search_empty_reason, search_index_rank, search_snippets, vocab_df, similar_terms, similar_docs, precedent_search, index_integrity, filter_contains_folded,
 )}
@@ -254,6 +262,8 @@ def _sql_page(tree, k: int) -> str:
 
 SQL = {
     "dense_nearest": "select vec_id as id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)), 5) as similarity from embeddings order by round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)), 9) desc, vec_id limit 10",
+    "dense_nearest_each": """select query, id, round(c, 5) as similarity from (select q.vec_id as query, v.vec_id as id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) as c from embeddings q, embeddings v where q.vec_id % 50 = 0)
+ qualify row_number() over (partition by query order by round(c, 9) desc, id) <= 10""",
     "fused_ranks": f"""with a as (select id, 1.0 / (60 + row_number() over (order by score desc, id)) as part from {_sql_page(_OR, 20)}), b as (select id, 0.5 / (60 + row_number() over (order by score desc, id)) as part from {_sql_page(parse_simple(PHRASE), 20)})
  select id, round(sum(part), 9) as score from (select * from a union all select * from b) group by id order by round(sum(part), 12) desc, id limit 10""",
     "search_rank_or": _sql_top(_OR, "tribunal = 'TJSC' and organ is not null"),

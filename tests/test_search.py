@@ -74,3 +74,18 @@ def test_snippet_is_the_earliest_best_window(spark):
     df = spark.createDataFrame([("a", text), ("b", ""), ("c", "mora")], "id string, t string")
     got = {r["id"]: (r["first_token"], r["distinct_terms"]) for r in S.snippet(df, "id", "t", leaves(parse_advanced("mora OU praz*")), 4).collect()}
     assert got == {"a": (29, 2), "c": (0, 1)}
+
+
+def test_nearest_of_each_query_over_several_blocks(spark, rows, monkeypatch):
+    from autuario.operators import fusion
+
+    monkeypatch.setattr(fusion, "BLOCK", 7)
+    draw = random.Random(8)
+    data = [(i, [float(draw.randrange(-2, 3)) for _ in range(4)]) for i in range(40)] + [(40, None), (41, [0.0] * 4), (42, [1.0, 2.0]), (43, [1.0, None, 0.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = fusion.nearest_of_each(df, df.where("vec_id % 5 = 0"), "vec_id", "embedding", 6)
+    want = []
+    for i, v in data:
+        if i % 5 == 0 and v and any(v):
+            want += [(i, r["id"]) for r in fusion.nearest(df, "vec_id", "embedding", v, 6).collect()]
+    assert rows(got.select("query", "id")) == sorted(want, key=str)
