@@ -40,3 +40,13 @@ def bootstrap(values: Sequence[float], resamples: int = 2000, seed: int = 42) ->
     draw = random.Random(seed)
     means = sorted(sum(draw.choices(values, k=len(values))) / len(values) for _ in range(resamples))
     return means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1]
+
+
+def hash_cover(pairs: DataFrame, document: str, key: str, seed: str) -> DataFrame:
+    """``document, draw``: a greedy cover, each document in the order of a hash that has a key no chosen one before it has.
+
+    Such a document is the first of some key, and the first of any key is chosen, so
+    the cover is the first document of each key. Null documents and keys have no part.
+    """
+    drawn = pairs.select(F.col(document).alias("document"), F.col(key).alias("key"), F.sha2(F.concat(F.lit(f"{seed}:"), F.col(document)), 256).alias("draw")).where("document is not null and key is not null")
+    return drawn.groupBy("key").agg(F.min(F.struct("draw", "document")).alias("x")).select("x.document", "x.draw").distinct()

@@ -115,10 +115,30 @@ def write_index(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
 
     The range partitioning includes the id: a term of a third of all texts is spread.
     """
+    _write_index(postings(df, id_col, text_col), _lengths(df, id_col, text_col), path)
+
+
+def _lengths(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _words(df, id_col, text_col).select("id", F.size("w").alias("length")).dropDuplicates(["id"])
+
+
+def _write_index(found: DataFrame, lengths: DataFrame, path: str) -> None:
+    spark = found.sparkSession
+    found.repartitionByRange(partitions(spark), "term", "id").sortWithinPartitions("term", "id").write.mode("errorifexists").parquet(f"{path}/postings")
+    lengths.write.mode("errorifexists").parquet(f"{path}/lengths")
+    spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).coalesce(1).write.parquet(f"{path}/size")
+
+
+def replace_in_index(df: DataFrame, id_col: str, text_col: str, gone: DataFrame, old: str, path: str) -> None:
+    """Write the index ``old`` to ``path`` with the texts of ``df`` new or in place of those of their ids, and without the ids of ``gone``.
+
+    Postings of other documents are taken over as they are; a changed text that is null leaves the index.
+    """
     spark = df.sparkSession
-    postings(df, id_col, text_col).repartitionByRange(partitions(spark), "term", "id").sortWithinPartitions("term", "id").write.mode("errorifexists").parquet(f"{path}/postings")
-    lengths = _words(df, id_col, text_col).select("id", F.size("w").alias("length")).dropDuplicates(["id"])
-    lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).coalesce(1).write.parquet(f"{path}/size")
+    out = df.select(F.col(f"`{id_col}`").alias("id")).unionByName(gone.select(F.col(f"`{id_col}`").alias("id"))).distinct()
+    kept = lambda name: spark.read.parquet(f"{old}/{name}").join(out, "id", "left_anti")
+    back = df.join(gone.select(id_col).distinct(), id_col, "left_anti")
+    _write_index(kept("postings").unionByName(postings(back, id_col, text_col)), kept("lengths").unionByName(_lengths(back, id_col, text_col)), path)
 
 
 def _shifted(positions: Column, by: int) -> Column:

@@ -89,3 +89,32 @@ def test_nearest_of_each_query_over_several_blocks(spark, rows, monkeypatch):
         if i % 5 == 0 and v and any(v):
             want += [(i, r["id"]) for r in fusion.nearest(df, "vec_id", "embedding", v, 6).collect()]
     assert rows(got.select("query", "id")) == sorted(want, key=str)
+
+
+def test_index_with_changed_documents_is_that_of_the_new_texts(spark, rows, tmp_path):
+    schema = "id string, t string, hits string"
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    S.write_index(spark.createDataFrame(corpus(), schema), "id", "t", old)
+    changed, gone = [("d01", "mora nova", "x"), ("d02", None, "x"), ("e", "bens", "x"), ("z", "partilha", "x"), ("y", "", "x")], ["d05", "s", "never"]
+    S.replace_in_index(spark.createDataFrame(changed, schema), "id", "t", spark.createDataFrame([(g,) for g in gone], "id string"), old, new)
+    left = [r for r in corpus() if r[0] not in {*gone, *(c[0] for c in changed)}] + changed
+    S.write_index(spark.createDataFrame(left, schema), "id", "t", str(tmp_path / "want"))
+    for name in ("postings", "lengths", "size"):
+        have, want = (spark.read.parquet(f"{p}/{name}") for p in (new, str(tmp_path / "want")))
+        assert rows(have) == rows(want.select(have.columns))
+
+
+def test_hash_cover_is_the_greedy_one(spark):
+    import hashlib
+
+    from autuario.operators.evaluation import hash_cover
+
+    draw = random.Random(9)
+    pairs = [(f"d{draw.randrange(40)}", f"k{draw.randrange(25)}") for _ in range(120)] + [(None, "k1"), ("d1", None)]
+    seen, chosen = set(), set()
+    for doc in sorted({d for d, _ in pairs if d}, key=lambda d: hashlib.sha256(f"s:{d}".encode()).hexdigest()):
+        own = {k for d, k in pairs if d == doc and k}
+        if own - seen:
+            seen |= own
+            chosen.add(doc)
+    assert {r["document"] for r in hash_cover(spark.createDataFrame(pairs, "d string, k string"), "d", "k", "s").collect()} == chosen
