@@ -14,8 +14,6 @@ from autuario.runtime import cut
 
 #: Items packed together by one task; the groups are drawn by a hash, so each is like the whole.
 GROUP = 20_000
-#: Rounds of local search over a group's underfull bins.
-ROUNDS = 6
 
 _PACKED = "container string, capacity int, bin string, id long, piece int, position int, place int, start long, tokens int"
 
@@ -41,27 +39,23 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """Local search: moves, one-for-one and two-for-one exchanges between underfull bins.
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Local search: moves, one-for-one, two-for-one and one-for-two exchanges between underfull bins.
 
-    Each step gives a fuller bin more from an emptier one, so the sum of squared fills
-    grows; bins that end up empty go. Full bins are left alone.
+    Each step makes a bin fuller than the other was, so the sum of squared fills grows,
+    and the search ends when no step raises it. Bins that end up empty go. Full
+    bins are left alone.
     """
     fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: -fill[b])
-        if len(under) < 2:
-            break
-        where: dict[int, int] = {}
-        pool: list[tuple[int, int]] = []
-        receivers, donors = under[: (len(under) + 1) // 2], under[(len(under) + 1) // 2 :]
-        for b in donors:
-            for i in bins[b]:
-                where[i] = b
-                pool.append((sizes[i], i))
-        pool.sort()
+    changed = True
+    while changed:
         changed = False
-        for a in receivers:
+        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: -fill[b])
+        where = {i: b for b in under for i in bins[b]}
+        pool = sorted((sizes[i], i) for i in where)
+        for a in under:  # takes from all others
+            for i in bins[a]:
+                pool.pop(bisect_right(pool, (sizes[i], i)) - 1)
             while fill[a] < capacity and pool:
                 step = _best_step(bins[a], sizes, capacity - fill[a], pool, fill, where, fill[a])
                 if step is None:
@@ -82,51 +76,58 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int
                     where[i] = b
                     insort(pool, (sizes[i], i))
                 changed = True
-        if not changed:
-            break
+            for i in bins[a]:
+                where[i] = a
+                insort(pool, (sizes[i], i))
     return [b for b in bins if b]
 
 
 def _best_step(own: list[int], sizes, gap: int, pool, fill, where, own_fill: int):
     """(items to give, items to take) that fill the gap most, None if nothing helps.
 
-    Tried: take one for none, take one for one, take one for two, and take two of one
-    donor for one. The donor's fill must stay below what the receiver reaches.
+    Tried with all items: take one for none, take one for one, take one for two, and take
+    two of one donor for one. The receiver must get fuller than the donor was.
     """
     best, found = 0, None
 
-    def largest(limit: int) -> tuple[int, int] | None:
-        k = bisect_right(pool, (limit, 1 << 62)) - 1
-        return pool[k] if k >= 0 else None
-
     def offer(given: list[int], out: int):
         nonlocal best, found
-        x = largest(gap + out)
-        if x and x[0] - out > best and own_fill + x[0] - out > fill[where[x[1]]] - x[0] + out:
-            best, found = x[0] - out, (given, [x[1]])
+        k = bisect_right(pool, (gap + out, 1 << 62)) - 1
+        while k >= 0 and (got := pool[k][0] - out) > best:
+            if own_fill + got > fill[where[pool[k][1]]]:
+                best, found = got, (given, [pool[k][1]])
+                return
+            k -= 1
 
     offer([], 0)
-    small = sorted(own, key=lambda i: sizes[i])[:40]
-    for i in small:
+    one = list({sizes[i]: i for i in own}.values())  # items of a size are alike
+    for i in one:
         if best == gap:
             return found
         offer([i], sizes[i])
-    for k, i in enumerate(small[:12]):
-        for j in small[k + 1 : 12]:
-            if best == gap:
-                return found
-            offer([i, j], sizes[i] + sizes[j])
-    for i in small[:12]:
+    pairs = {sizes[i] + sizes[j]: [i, j] for k, i in enumerate(own) for j in own[k + 1 :]} if best < gap else {}
+    for out, pair in pairs.items():
         if best == gap:
             return found
-        limit = gap + sizes[i]
-        first = largest(limit - 1)
-        if first:
-            b = where[first[1]]
-            for s, j in pool[max(0, bisect_right(pool, (limit - first[0], 1 << 62)) - 8) : bisect_right(pool, (limit - first[0], 1 << 62))]:
-                got = first[0] + s - sizes[i]
-                if j != first[1] and where[j] == b and got > best and own_fill + got > fill[b] - got:
-                    best, found = got, ([i], [first[1], j])
+        offer(pair, out)
+    if best == gap:
+        return found
+    donors: dict[int, list[tuple[int, int]]] = {}
+    for x in pool:
+        donors.setdefault(where[x[1]], []).append(x)
+    for i in one:
+        for b, held in donors.items():
+            low, high = 0, len(held) - 1
+            while low < high:
+                got = held[low][0] + held[high][0] - sizes[i]
+                if got > gap:
+                    high -= 1
+                    continue
+                if got > best and own_fill + got > fill[b]:
+                    best, found = got, ([i], [held[low][1], held[high][1]])
+                    if best == gap:
+                        return found
+                low += 1
     return found
 
 

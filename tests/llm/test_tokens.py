@@ -101,3 +101,17 @@ def test_packing_table(spark):
         assert len(bins) <= -(-sum(n for _, n in data) // capacity) * 1.03 + 2
     assert {r["container"] for r in placed} == {"a", "b"}
     assert pack(items.limit(0), kinds).collect() == []
+
+
+def test_local_search_ends_where_no_exchange_helps():
+    draw = random.Random(5)
+    sizes = [draw.randint(140, 420) for _ in range(400)]
+    bins = improve(best_fit(sizes, 1000), sizes, 1000)
+    assert sorted(i for b in bins for i in b) == list(range(400)) and len(bins) <= 115
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    for a, own in enumerate(bins):
+        for b, other in enumerate(bins):
+            if a != b and fill[a] < 1000 and fill[b] < 1000:
+                gains = {sizes[j] - out for j in other for out in [0, *(sizes[i] for i in own), *(sizes[i] + sizes[k] for i in own for k in own if i < k)]}
+                gains |= {sizes[j] + sizes[k] - sizes[i] for j in other for k in other if j < k for i in own}
+                assert not [g for g in gains if 0 < g <= 1000 - fill[a] and fill[a] + g > fill[b]]
