@@ -26,6 +26,7 @@ from autuario.runtime import spread
 # Fixed value: the pre-tokenizer of the vocabulary byte_bpe_50k.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BLANKS = frozenset(b" \t\n\r\x0b\x0c")
+BLANK = regex.compile(r"\s")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: One blank run in so many ends a chunk.
 CUT_EVERY = 2
@@ -56,6 +57,16 @@ def _encoding(path: str):
     return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(2)
+def _widths(path: str) -> np.ndarray:
+    """How many bytes each id stands for."""
+    encoding = _encoding(path)
+    width = np.zeros(encoding.n_vocab, np.int64)
+    for token, rank in encoding._mergeable_ranks.items():
+        width[rank] = len(token)
+    return width
+
+
 def cuts(raw: np.ndarray) -> np.ndarray:
     """Where chunks begin: before those runs of ASCII blanks whose preceding bytes hash to a cut."""
     n = len(raw)
@@ -73,59 +84,67 @@ def cuts(raw: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts, keeping what chunks encode to.
 
-    A chunk is known by a 64-bit hash of its bytes together with its length. The ids
-    of all known chunks lie in one pool, from which a batch's ids are gathered.
+    A chunk is found by a 64-bit hash of its bytes; its bytes themselves are compared
+    before its ids are used. The ids and bytes of all known chunks lie in two pools,
+    from which a batch's are gathered.
     """
 
     def __init__(self, path: str):
         self.encoding = _encoding(path)
-        self.width = self._widths()
+        self.width = _widths(path)
         self._forget()
 
-    def _widths(self) -> np.ndarray:
-        """How many bytes each id stands for."""
-        width = np.zeros(self.encoding.n_vocab, np.int64)
-        for token, rank in self.encoding._mergeable_ranks.items():
-            width[rank] = len(token)
-        return width
-
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.first, self.size, self.bytes = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.pool, self.text = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint8)
+        self.first, self.size, self.begin, self.bytes = (np.zeros(1 << 12, np.int64) for _ in range(4))
         self.filled = 0
 
     def _learn(self, keys: list[int], chunks: list[bytes]) -> np.ndarray:
         """Encode chunks not met before; their slots.
 
-        Those that begin with a blank are encoded in one call, since the pre-tokenizer
-        breaks before it, and the ids are dealt out by the bytes they stand for.
+        The pre-tokenizer breaks where a blank follows anything else. So chunks that
+        begin with a blank and end in none are encoded in one call, and the ids dealt
+        out by the bytes they stand for; where these don't end with a chunk, and all
+        other chunks, are encoded one by one.
         """
-        joint = [k for k, c in enumerate(chunks) if c[0] in _BLANKS and len(c) <= BLANKLESS]
+        texts = [c.decode("utf-8") for c in chunks]
+        joint = [k for k, (c, t) in enumerate(zip(chunks, texts)) if c[0] in _BLANKS and len(c) <= BLANKLESS and not BLANK.match(t[-1])]
         ids: list[np.ndarray | None] = [None] * len(chunks)
         if joint:
-            together = self.encoding.encode_to_numpy(b"".join(chunks[k] for k in joint).decode("utf-8"), disallowed_special=()).astype(np.int32)
+            together = self.encoding.encode_to_numpy("".join(texts[k] for k in joint), disallowed_special=()).astype(np.int32)
             ends = np.cumsum([len(chunks[k]) for k in joint])
-            edges = np.searchsorted(np.cumsum(self.width[together]), ends, side="right")
-            for k, part in zip(joint, np.split(together, edges[:-1])):
-                ids[k] = part
-        for k, c in enumerate(chunks):
+            spans = np.cumsum(self.width[together])
+            edges = np.searchsorted(spans, ends, side="right")
+            agree = spans[edges - 1] == ends
+            agree[1:] &= agree[:-1]
+            for k, part, ok in zip(joint, np.split(together, edges[:-1]), agree):
+                ids[k] = part if ok else None
+        for k, t in enumerate(texts):
             if ids[k] is None:
-                ids[k] = self._blankless(c.decode("utf-8")) if len(c) > BLANKLESS else self.encoding.encode_to_numpy(c.decode("utf-8"), disallowed_special=()).astype(np.int32)
+                ids[k] = self._alone(t)
         new = np.concatenate(ids)
-        sizes = np.array([len(x) for x in ids], np.int64)
+        sizes, lengths = np.array([len(x) for x in ids], np.int64), np.array([len(c) for c in chunks], np.int64)
         slots = np.arange(self.filled + 1, self.filled + 1 + len(chunks))
-        at = int(self.first[self.filled] + self.size[self.filled])
+        at, to = int(self.first[self.filled] + self.size[self.filled]), int(self.begin[self.filled] + self.bytes[self.filled])
         while slots[-1] >= len(self.first):
-            self.first, self.size, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.bytes))
+            self.first, self.size, self.begin, self.bytes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.begin, self.bytes))
         if at + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(new)), np.int32)])
-        self.pool[at : at + len(new)] = new
-        self.first[slots], self.size[slots], self.bytes[slots] = at + np.cumsum(sizes) - sizes, sizes, [len(c) for c in chunks]
+        raw = np.frombuffer(b"".join(chunks), np.uint8)
+        if to + len(raw) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(max(len(self.text), len(raw)), np.uint8)])
+        self.pool[at : at + len(new)], self.text[to : to + len(raw)] = new, raw
+        self.first[slots], self.size[slots] = at + np.cumsum(sizes) - sizes, sizes
+        self.begin[slots], self.bytes[slots] = to + np.cumsum(lengths) - lengths, lengths
         self.filled = int(slots[-1])
         self.known.update(zip(keys, slots.tolist()))
         return slots
 
+    def _alone(self, text: str) -> np.ndarray:
+        """The ids of a chunk by itself."""
+        return self._blankless(text) if len(text) > BLANKLESS else self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+
     def _blankless(self, text: str) -> np.ndarray:
         """Encode a long chunk in steps; the open end of a step is encoded again with the next."""
         out, begin, end = [], 0, 0
@@ -154,7 +173,7 @@ class Encoder:
         value = np.add.reduceat((raw + np.uint64(1)) * powers(_BASE, int(length.max()))[place], starts)
         key = mix(value + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         distinct, example, which = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known) * 150 + 4 * self.first[self.filled] > CACHE_BYTES:
+        if len(self.known) * 160 + 4 * self.first[self.filled] + self.begin[self.filled] > CACHE_BYTES:
             self._forget()
         keys = distinct.tolist()
         slots = np.fromiter((self.known.get(k, 0) for k in keys), np.int64, len(keys))
@@ -163,6 +182,10 @@ class Encoder:
             at, to = starts[example[new]].tolist(), (starts + length)[example[new]].tolist()
             slots[new] = self._learn([keys[i] for i in new.tolist()], [joined[a:b] for a, b in zip(at, to)])
         mine = slots[which]
+        at = np.minimum(np.repeat(self.begin[mine] - starts, length) + np.arange(len(raw)), len(self.text) - 1)
+        differ = np.searchsorted(starts, np.flatnonzero(self.text[at] != raw), side="right") - 1
+        for k in np.union1d(differ, np.flatnonzero(self.bytes[mine] != length)).tolist():  # chunks whose hash another one has
+            mine[k] = self._learn([-1], [joined[starts[k] : starts[k] + length[k]]])[0]
         size = self.size[mine]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.first[mine] - total[:-1], size) + np.arange(total[-1])]

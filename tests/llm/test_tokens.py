@@ -30,6 +30,42 @@ def test_ids_agree_on_any_text(texts):
     check(texts)
 
 
+ENDS = ["Recurso de agravo\n", "\n\nvoto vencido da turma\n", "fim do texto\n", "\n\ncaso em exame\n", "caso  ", "  caso em exame", "caso em exame\xa0", "\u3000 caso", " \n", "\x85\n caso em exame \x85", "\t", "ação em exame \u2003"]
+
+
+def test_texts_that_begin_and_end_in_blanks_in_any_order():
+    draw = random.Random(4)
+    for _ in range(40):
+        texts = [draw.choice(ENDS) * draw.randrange(1, 4) for _ in range(draw.randrange(1, 30))]
+        encoder = T.Encoder(T.vocabulary())
+        at = 0
+        while at < len(texts):  # several batches, so that what an earlier one learnt is used again
+            part = texts[at : at + draw.randrange(1, 12)]
+            at += len(part)
+            offsets, ids = encoder.batch(part)
+            for k, t in enumerate(part):
+                assert ids[offsets[k] : offsets[k + 1]].tolist() == PLAIN.encode_ordinary(t), (texts, t)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet=" \n\t\xa0\u3000\x85abé1,'", max_size=40), max_size=6), max_size=3))
+def test_fresh_encoders_on_blanks(batches):
+    encoder = T.Encoder(T.vocabulary())
+    for texts in batches:
+        offsets, ids = encoder.batch(texts)
+        for k, t in enumerate(texts):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == PLAIN.encode_ordinary(t)
+
+
+def test_chunks_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(T, "mix", lambda x: x * 0 + x.dtype.type(5))  # every chunk has the same hash
+    encoder = T.Encoder(T.vocabulary())
+    texts = ["um texto", "xx texto", "um texto mais longo", "z", "", "um texto"]
+    for part in (texts, texts[::-1]):
+        offsets, ids = encoder.batch(part)
+        assert [ids[offsets[k] : offsets[k + 1]].tolist() for k in range(len(part))] == [PLAIN.encode_ordinary(t) for t in part]
+
+
 def test_agrees_with_another_library():
     from tokenizers import Tokenizer
 
