@@ -20,11 +20,13 @@ _TABLES: list[tuple[SparkSession, str]] = []
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a temporary folder is made and set, because then there is one machine.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the
+    master is local a temporary folder is made and set, because then there is one machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="autuario-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
@@ -73,11 +75,29 @@ SMALL_TABLE = 32 * 1024 * 1024
 def spread(df: DataFrame, key: str) -> DataFrame:
     """A small table of few splits, dealt by ``key`` to all cores; any other as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_TABLE or df.rdd.getNumPartitions() * 2 > cores:
+    if size_of(df) > SMALL_TABLE or df.rdd.getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores, key)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of the tables read that one task sorts.
+TASK_BYTES = 64 * 1024 * 1024
+#: Sizes from here on stand for an unknown one.
+UNKNOWN_SIZE = 1 << 60
+
+
+def size_of(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def partitions_for(df: DataFrame) -> int:
+    """How many tasks should sort a table: the session's number, or more if the tables it is
+    made from hold over ``TASK_BYTES`` for each. Tables of unknown size don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(partitions(df.sparkSession), -(-sum(x for x in sizes if x < UNKNOWN_SIZE) // TASK_BYTES))
