@@ -7,23 +7,25 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from autuario.llm.copies import copy_digest
 from autuario.llm.darts import EMPTY, signatures
 from autuario.llm.words import mix, pieces, sequence_hashes, shingle_hashes, word_hashes
-from autuario.runtime import cut, spread
+from autuario.runtime import cut, partitions_for, spread
 
 #: Signature bits kept beside each band, and how many of them must agree for a pair to be looked at.
 BITS = 128
-#: A run of one band key longer than this is joined in pieces by many tasks.
-RUN = 256
+#: A run of one band key longer than this is joined in pieces by many tasks, chunk by chunk.
+RUN, CHUNK = 256, 2048
 #: Largest number of candidate texts whose ids are broadcast (some 30 bytes each); beyond it they are shuffled.
 BROADCAST_IDS = 100_000
 
 _SIGNED = "id string, h long, bands array<long>, s1 long, s2 long"
-_PAIRED = "ha long, hb long, band long, h long, s1 long, s2 long, chunk int"
+_PAIRED = "ha long, hb long, band long, h long, s1 long, s2 long, part int, chunk int"
+_NAMES = ["ha", "hb", "band", "h", "s1", "s2", "part", "chunk"]
 
 
 def plan_bands(threshold: float) -> tuple[int, int, int]:
@@ -88,45 +90,58 @@ def _agree(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray) -> np
 
 def _pairs_out(ha, hb) -> pa.RecordBatch:
     n = len(ha)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(ha, hb)), pa.array(np.maximum(ha, hb)), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.int32())],
-        names=["ha", "hb", "band", "h", "s1", "s2", "chunk"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(ha, hb)), pa.array(np.maximum(ha, hb)), *[pa.nulls(n, pa.int64())] * 4, *[pa.nulls(n, pa.int32())] * 2], names=_NAMES)
+
+
+def _rows_out(c: list[np.ndarray], part: int, chunk: np.ndarray) -> pa.RecordBatch:
+    n = len(chunk)
+    return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 2, *map(pa.array, c), pa.array(np.full(n, part, np.int32)), pa.array(chunk.astype(np.int32))], names=_NAMES)
 
 
 def _pair_runs(least: int):
-    """Pairs within runs of a band key in rows sorted by band; long runs leave in chunks."""
+    """Pairs within runs of a band key in rows sorted by band and ``h``.
+
+    The first and last run of a partition, which may go on in another one, and runs
+    longer than ``RUN`` leave as rows numbered by chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        long_band, long_rows = None, 0
+        part = TaskContext.get().partitionId()
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        open_band: int | None = None  # the run that leaves row by row, how many rows have left, and the last of them
+        left, last_h = 0, None
+        first = True
+
+        def leave(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Rows of one run, as chunks."""
+            nonlocal open_band, left, last_h
+            if c[0][0] != open_band:
+                open_band, left, last_h = int(c[0][0]), 0, None
+            h = c[1]
+            fresh = np.concatenate([[last_h is None or h[0] != last_h], h[1:] != h[:-1]])
+            last_h = h[-1]
+            c = [x[fresh] for x in c]
+            if len(c[0]):
+                yield _rows_out(c, part, (left + np.arange(len(c[0]))) // CHUNK)
+                left += len(c[0])
 
         def settle(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            nonlocal long_band, long_rows
-            band, h, s1, s2 = c
-            if not len(band):
-                return
-            start = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-            length = np.diff(np.concatenate([start, [len(band)]]))
-            is_long = length > RUN
-            if long_band is not None and band[0] == long_band:
-                is_long[0] = True
-            each = np.repeat(is_long, length)
-            if each.any():
-                for s, m in zip(start[is_long], length[is_long]):
-                    at = long_rows if band[s] == long_band else 0
-                    chunk = (at + np.arange(m)) // RUN
-                    long_band, long_rows = band[s], at + m
-                    x = slice(s, s + m)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(band[x]), pa.array(h[x]), pa.array(s1[x]), pa.array(s2[x]), pa.array(chunk.astype(np.int32))],
-                        names=["ha", "hb", "band", "h", "s1", "s2", "chunk"],
-                    )
-            band, h, s1, s2 = (x[~each] for x in (band, h, s1, s2))
+            """Whole runs; the partition's first one and the rest of one that is leaving go the same way."""
+            nonlocal first
+            start = np.flatnonzero(np.concatenate([[True], c[0][1:] != c[0][:-1]]))
+            length = np.diff(np.concatenate([start, [len(c[0])]]))
+            out = length > RUN
+            out[0] |= first or c[0][0] == open_band
+            first = False
+            for s, m in zip(start[out].tolist(), length[out].tolist()):
+                yield from leave([x[s : s + m] for x in c])
+            stay = ~np.repeat(out, length)
+            band, h, s1, s2 = (x[stay] for x in c)
+            fresh = np.ones(len(band), bool)
+            fresh[1:] = (band[1:] != band[:-1]) | (h[1:] != h[:-1])
+            band, h, s1, s2 = (x[fresh] for x in (band, h, s1, s2))
             for k in range(1, RUN + 1):
-                if len(band) <= k:
-                    break
-                i = np.flatnonzero(band[k:] == band[:-k])
+                i = np.flatnonzero(band[k:] == band[:-k]) if len(band) > k else []
                 if not len(i):
                     break
                 i = i[_agree(s1[i], s2[i], s1[i + k], s2[i + k]) >= least]
@@ -134,26 +149,25 @@ def _pair_runs(least: int):
                     yield _pairs_out(h[i], h[i + k])
 
         for b in batches:
-            c = [np.asarray(b.column(x)) for x in ("band", "h", "s1", "s2")]
-            if held is not None:
-                c = [np.concatenate(x) for x in zip(held, c)]
+            c = [np.concatenate([x, np.asarray(b.column(n))]) for x, n in zip(held, ("band", "h", "s1", "s2"))]
             if not len(c[0]):
                 continue
-            last = np.searchsorted(c[0], c[0][-1])
-            if len(c[0]) - last > RUN:
-                yield from settle(c)
-                held = [x[:0] for x in c]
-            else:
+            last = int(np.searchsorted(c[0], c[0][-1]))
+            if last:
                 yield from settle([x[:last] for x in c])
-                held = [x[last:] for x in c]
-        if held is not None:
-            yield from settle(held)
+            held = [x[last:] for x in c]
+            if len(held[0]) > RUN:
+                yield from leave(held)
+                first = False
+                held = [x[:0] for x in held]
+        if len(held[0]):
+            yield from leave(held)
 
     return run
 
 
 def _pair_chunks(least: int):
-    """Pairs between two chunks of a long run (``i`` and ``j``), or within one."""
+    """Pairs between two chunks of a run (``i`` and ``j``), or within one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -163,13 +177,15 @@ def _pair_chunks(least: int):
             cut_at = np.flatnonzero((np.diff(c["band"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)) + 1
             for x in np.split(np.arange(len(t)), cut_at):
                 left, right = x[c["side"][x] == 0], x[c["side"][x] == 1]
-                if c["i"][x[0]] == c["j"][x[0]]:
-                    a, b = np.triu_indices(len(left), 1)
-                    a, b = left[a], left[b]
-                else:
-                    a, b = np.repeat(left, len(right)), np.tile(right, len(left))
-                ok = _agree(c["s1"][a], c["s2"][a], c["s1"][b], c["s2"][b]) >= least
-                yield _pairs_out(c["h"][a[ok]], c["h"][b[ok]])
+                same = c["i"][x[0]] == c["j"][x[0]]
+                right = left if same else right
+                for low in range(0, len(left), RUN):
+                    own = left[low : low + RUN]
+                    a, b = np.nonzero(_agree(c["s1"][own][:, None], c["s2"][own][:, None], c["s1"][right][None], c["s2"][right][None]) >= least)
+                    if same:
+                        a, b = a[b > a + low], b[b > a + low]
+                    if len(a):
+                        yield _pairs_out(c["h"][own[a]], c["h"][right[b]])
 
         for b in batches:
             t = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
@@ -188,21 +204,25 @@ def _pair_chunks(least: int):
 def candidates(signed: DataFrame, least: int) -> DataFrame:
     """Distinct pairs ``ha < hb`` of sequence hashes that share a band and enough signature bits.
 
-    One shuffle by band key; a run of any length is handled, none is cut short.
+    One shuffle by range of band key and hash, so that the rows of one key, however
+    many, are spread over tasks. Runs of a key that end within a task are paired
+    there; others are cut into chunks, and each pair of a key's chunks is one unit of work.
     """
     rows = signed.where("bands is not null").select("h", "s1", "s2", F.explode("bands").alias("band")).select("band", "h", "s1", "s2")
-    sorted_ = rows.repartition("band").dropDuplicates(["band", "h"]).sortWithinPartitions("band")
-    made = cut(sorted_.mapInArrow(_pair_runs(least), _PAIRED).distinct(), "near-pairs")
+    sorted_ = rows.repartitionByRange(partitions_for(rows), "band", "h").sortWithinPartitions("band", "h")
+    made = cut(sorted_.mapInArrow(_pair_runs(least), _PAIRED), "near-pairs")
     short = made.where("ha is not null").select("ha", "hb")
-    chunks = made.where("ha is null").select("band", "h", "s1", "s2", "chunk")
-    if chunks.isEmpty():
-        return short.where("ha < hb")
-    most = chunks.groupBy("band").agg(F.max("chunk").alias("most"))
-    sides = chunks.join(most, "band").select(
-        "band", "h", "s1", "s2", "chunk", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("other")
+    loose = made.where("ha is null").select("band", "h", "s1", "s2", "part", "chunk")
+    chunk = loose.groupBy("band", "part", "chunk").agg(F.count("*").alias("n"))  # a row for each chunk of a key
+    of_band = Window.partitionBy("band")
+    numbered = chunk.select(
+        "band", "part", "chunk", (F.row_number().over(of_band.orderBy("part", "chunk")) - 1).alias("own"), F.count("*").over(of_band).alias("chunks"), F.sum("n").over(of_band).alias("all")
+    ).where("all > 1")
+    sides = loose.join(numbered, ["band", "part", "chunk"]).select(
+        "band", "h", "s1", "s2", "own", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("other")
     ).select(
-        "band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "h", "s1", "s2",
-        F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"),
+        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "h", "s1", "s2",
+        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
     more = sides.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_pair_chunks(least), _PAIRED)
     return short.unionByName(more.select("ha", "hb")).where("ha < hb").distinct()
@@ -304,10 +324,14 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, threshold: float, shi
     Labels travel along links and are then shortened to their label's label, so
     rounds grow with the logarithm of a chain's length; they go on until no label
     moves, and if ``max_rounds`` are given and don't suffice, there is no result but
-    an error. Ids without any similar text, or copy, are groups of one.
+    an error. Ids without any similar text, or copy, are groups of one; an id with
+    several texts is in one group with all that is near any of them.
     """
     classes, links = near_duplicates(df, id_col, text_col, threshold, shingle)
-    edges = cut(links.select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(links.select(F.col("hb").alias("a"), F.col("ha").alias("b"))), "near-edges")
+    one = classes.groupBy("id").agg(F.min("h").alias("ha"), F.max("h").alias("hb")).where("ha <> hb").select("id", "ha")  # ids with several texts tie their classes together
+    tied = classes.join(one, "id").where("h <> ha").select("ha", F.col("h").alias("hb")).distinct()
+    pairs = links.select("ha", "hb").unionByName(tied)
+    edges = cut(pairs.select(F.col("ha").alias("a"), F.col("hb").alias("b")).unionByName(pairs.select(F.col("hb").alias("a"), F.col("ha").alias("b"))), "near-edges")
     label = cut(edges.select("a").distinct().withColumn("label", F.col("a")), "near-label")
     for k in count():  # a label only falls, so this ends
         if k == max_rounds:

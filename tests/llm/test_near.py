@@ -52,6 +52,7 @@ def test_pairs_match_brute_force(spark, threshold, size):
 
 def test_long_runs_are_joined_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(near, "RUN", 7)
+    monkeypatch.setattr(near, "CHUNK", 5)
     rows = corpus(2, 2, 40)
     want = brute(rows, 0.6, 3)
     got = {(r["id_a"], r["id_b"]) for r in near_pairs(spark.createDataFrame(rows, SCHEMA), "id", "ementa", 0.6, 3).collect()}
@@ -81,6 +82,26 @@ def test_groups_are_connected_components(spark):
     assert got == {i: root(i) for i in parent}
 
 
+def test_an_id_with_two_texts_ties_their_groups(spark):
+    draw = random.Random(9)
+    a, b = ([f"w{draw.randrange(900)}" for _ in range(60)] for _ in "ab")
+    rows = [("a", " ".join(a)), ("m", " ".join(["x", *a[1:]])), ("m", " ".join(b)), ("z", " ".join([*b[:-1], "y"])), ("q", "sem par algum aqui")]
+    got = {r["id"]: r["group_id"] for r in near_groups(spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA), "id", "ementa", 0.6, 3).collect()}
+    assert got == {"a": "a", "m": "a", "z": "a", "q": "q"}
+
+
+def test_a_band_that_most_rows_share(spark):
+    """Rows of one band key over many partitions meet all the same, once each."""
+    draw = np.random.default_rng(1)
+    n = 5000
+    bits = draw.integers(-(2**62), 2**62, (n, 2))
+    bits[1::2] = bits[::2] ^ 1  # pairs one bit apart
+    rows = [(f"d{i}", i + 1, [7] if i % 3 else [7, i // 2 + 100], int(bits[i, 0]), int(bits[i, 1])) for i in range(n)]
+    signed = spark.createDataFrame(rows, near._SIGNED).repartition(3)
+    got = sorted((r["ha"], r["hb"]) for r in near.candidates(signed, 120).collect())
+    assert got == [(i + 1, i + 2) for i in range(0, n, 2)]
+
+
 def test_groups_are_whole_or_an_error(spark):
     df = spark.createDataFrame(corpus(3), SCHEMA)
     with pytest.raises(RuntimeError, match="still move"):
