@@ -18,19 +18,18 @@ def stream_daily_counts(spark, d):
 def stream_orphans(spark, d):
     """The orphans of document_citations and citation_links, by steps of the ledger.
 
-    All documents ever logged arrive, then two streams of references, then the
+    All documents ever logged arrive, then two streams of references, then the documents held and the
     precedents, for which references wait; last, the documents no longer held are deleted.
     """
     citations, links = table(spark, d, "document_citations"), table(spark, d, "citation_links")
     none = corpus_references(citations.limit(0), links.limit(0))
-    documents, precedents = table(spark, d, "documents"), table(spark, d, "precedents")
+    held = corpus_parents(table(spark, d, "documents"), table(spark, d, "precedents"))
     logged = table(spark, d, "versions").where("document_id is not null").select(F.explode(F.array(F.concat(F.lit("d|"), "document_id"), F.concat(F.lit("e|"), "document_id"))).alias(KEY)).distinct()
-    held = corpus_parents(documents, precedents.limit(0))
-    ledger = OrphanLedger.empty(spark, none).step(arrived=held.unionByName(logged))
+    ledger = OrphanLedger.empty(spark, none).step(arrived=logged)
     ledger = S.orphan_stream(spark, corpus_references(S.table_stream(spark, f"{d}/document_citations.parquet"), links.limit(0).transform(_empty_stream_like(spark, d, "citation_links"))), ledger)
     refs = corpus_references(_empty_stream_like(spark, d, "document_citations")(citations), S.table_stream(spark, f"{d}/citation_links.parquet"))
-    ledger = S.orphan_stream(spark, refs, ledger).step(arrived=corpus_parents(documents.limit(0), precedents))
-    return ledger.step(deleted=logged.join(corpus_parents(documents, precedents), KEY, "left_anti")).pending.select(*core.P2_COLUMNS)
+    ledger = S.orphan_stream(spark, refs, ledger).step(arrived=held)
+    return ledger.step(deleted=logged.join(held, KEY, "left_anti")).pending.select(*core.P2_COLUMNS)
 
 
 def _empty_stream_like(spark, d, name):

@@ -68,6 +68,33 @@ def drop_tables() -> None:
             pass
 
 
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file in the shared folder, None where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole: under another name first, then in place of the one before."""
+    java = spark._jvm.org.apache.hadoop.fs
+    at, temporary = java.Path(path), java.Path(f"{path}.new")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(temporary, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = java.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    modes = spark.sparkContext._gateway.new_array(java.Options.Rename, 1)
+    modes[0] = java.Options.Rename.OVERWRITE
+    context.rename(temporary, at, modes)
+
+
 #: A table up to this size that is read in a few splits is dealt to all cores before costly work on its texts.
 SMALL_TABLE = 32 * 1024 * 1024
 

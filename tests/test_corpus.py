@@ -126,3 +126,37 @@ def test_fusion(spark):
     a, b = (spark.createDataFrame(x, "id string, s double") for x in ([("x", 3.0), ("y", 2.0)], [("y", 9.0), ("z", 1.0)]))
     got = reciprocal_ranks([(a, F.col("s").desc(), 1.0), (b, F.col("s").desc(), 1.0)], 5).collect()
     assert [r["id"] for r in got] == ["y", "x", "z"] and abs(got[0]["score"] - (1 / 62 + 1 / 61)) < 1e-12
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path, rows):
+    """Late parents and deletions between two runs; nothing that a run has read is read again; empty streams give empty tables."""
+    from autuario.operators.orphans import OrphanLedger
+
+    refs = "ref_key string, who string"
+    source, folder, state = str(tmp_path / "refs"), str(tmp_path / "stream"), str(tmp_path / "state")
+    like = spark.createDataFrame([], refs)
+    like.write.parquet(source)
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "ref_key string")
+    run = lambda ledger: streams.orphan_stream(spark, streams.table_stream(spark, source, 1), ledger, folder)
+    ledger = run(OrphanLedger.empty(spark, like, state).step(arrived=keys("a")))
+    assert rows(ledger.pending) == []
+    spark.createDataFrame([("a", "x"), ("b", "y")], refs).coalesce(1).write.mode("append").parquet(source)
+    ledger = run(OrphanLedger.empty(spark, like, state))
+    assert rows(ledger.pending) == [("b", "y")]
+    ledger.step(arrived=keys("b")).step(deleted=keys("a"))
+    spark.createDataFrame([("a", "z"), ("c", "y")], refs).coalesce(1).write.mode("append").parquet(source)
+    ledger = run(OrphanLedger.empty(spark, like, state))
+    assert rows(ledger.pending) == [("a", "x"), ("a", "z"), ("c", "y")] and rows(ledger.settled) == [("b", "y")]
+    assert rows(run(OrphanLedger.empty(spark, like, state)).pending) == rows(ledger.pending)
+
+    events = str(tmp_path / "events")
+    spark.createDataFrame([], "ts timestamp, kind string").write.parquet(events)
+    count = lambda: rows(streams.write_daily_counts(spark, streams.table_stream(spark, events, 1), "ts", "kind", folder=str(tmp_path / "daily")).select("kind", "n"))
+    assert count() == []
+    for n in (2, 3):
+        spark.sql("select timestamp'2024-01-05 10:00:00' as ts, 'k' as kind").crossJoin(spark.range(n)).drop("id").coalesce(1).write.mode("append").parquet(events)
+        got = count()
+    assert got == [("k", 5)]
+    observed = str(tmp_path / "observed")
+    spark.createDataFrame([], "document_id string, resource_id string, hash string, rank_key string").write.parquet(observed)
+    assert rows(streams.latest_stream(spark, streams.table_stream(spark, observed))) == []
