@@ -66,7 +66,7 @@ class Corpus:
         """
         rows = cut(records.select("document_id", "hash", "raw").distinct(), "ingest-rows")
         if not rows.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            raise EngineError("id_duplicado", "A document stands twice in one delivery.")
+            raise EngineError("parametro_invalido", "A document stands twice in one delivery.")
         known = self.versions.select("document_id", "hash")
         fresh = rows.join(known, ["document_id", "hash"], "left_anti").select("document_id", "hash", F.lit(seen_at).cast("timestamp").alias("first_seen"), "raw")
         before = self.observations.where(F.col("resource_id") == resource_id)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from autuario.errors import EngineError
+from autuario.runtime import read_small, write_small
 
 MANIFEST = "manifest.json"
 #: Generations kept.
@@ -21,21 +22,19 @@ def _fs(spark: SparkSession, root: str):
 
 def manifest(spark: SparkSession, root: str) -> list[dict]:
     """The generations, newest first; none where there is no manifest."""
-    fs, path = _fs(spark, root)
-    at = path(f"{root}/{MANIFEST}")
-    if not fs.exists(at):
-        return []
-    stream = fs.open(at)
-    try:
-        return json.loads(bytes(stream.readAllBytes()).decode())
-    finally:
-        stream.close()
+    held = read_small(spark, f"{root}/{MANIFEST}")
+    return json.loads(held) if held else []
+
+
+def _digest_of(df: DataFrame) -> list:
+    h = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])))
+    return [F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("digest")]
 
 
 def table_digest(df: DataFrame) -> dict:
     """Rows and an order-free digest of a table, to compare what was written with what was meant."""
-    row = df.select(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x")).first()
-    return {"rows": row["n"], "digest": row["x"] or 0}
+    row = df.agg(*_digest_of(df)).first()
+    return {"rows": row["rows"], "digest": row["digest"] or 0}
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], schema: int = 1) -> str:
@@ -51,21 +50,17 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], schema
     fs.delete(path(where), True)
     digests = {}
     for name, df in sorted(tables.items()):
-        df.write.parquet(f"{where}/{name}")
+        meant = Observation(f"digest-{name}")
+        df.observe(meant, *_digest_of(df)).write.parquet(f"{where}/{name}")  # digested as it is written
         digests[name] = table_digest(spark.read.parquet(f"{where}/{name}"))
-        if digests[name] != table_digest(df):
+        if digests[name] != {"rows": meant.get["rows"], "digest": meant.get["digest"] or 0}:
             raise EngineError("publicacao_invalida", f"{name} was not written as meant.")
     mark = abs(sum(v["digest"] for v in digests.values())) % 16**10
     name = f"r{revision}-s{schema}-{mark:010x}"
     if not fs.rename(path(where), path(f"{root}/{name}")):
         raise EngineError("publicacao_invalida", "The generation could not be put in place.")
     kept = [{"id": name, "revision": revision, "schema": schema, "tables": digests}, *held][:KEEP]
-    temporary = path(f"{root}/.{MANIFEST}.{revision}")
-    out = fs.create(temporary, True)
-    out.write(bytearray(json.dumps(kept, sort_keys=True).encode()))
-    out.close()
-    fs.delete(path(f"{root}/{MANIFEST}"), False)
-    fs.rename(temporary, path(f"{root}/{MANIFEST}"))
+    write_small(spark, f"{root}/{MANIFEST}", json.dumps(kept, sort_keys=True))
     for old in held[KEEP - 1 :]:
         fs.delete(path(f"{root}/{old['id']}"), True)
     return name
@@ -76,10 +71,10 @@ def open_generation(spark: SparkSession, root: str, name: str | None = None, wit
     held = manifest(spark, root)
     chosen = next((g for g in held if name in (None, g["id"])), None)
     if chosen is None:
-        raise EngineError("publicacao_indisponivel", "There is no such generation.")
+        raise EngineError("publicacao_expirada" if held else "base_nao_inicializada", "There is no such generation.")
     tables = {t: spark.read.parquet(f"{root}/{chosen['id']}/{t}") for t in chosen["tables"]}
     if withdrawn:
-        gone = F.broadcast(spark.createDataFrame([(x,) for x in withdrawn], "id string"))
+        gone = spark.createDataFrame([(x,) for x in withdrawn], "id string")  # the optimizer chooses how, by size
         tables = {n: t.join(gone, "id", "left_anti") if "id" in t.columns else t for n, t in tables.items()}
     return tables
 

@@ -2,12 +2,14 @@
 
 ``measure`` reads each text once and keeps, per document, its length and how often
 each leaf of the query occurs in it; everything else works on those few numbers. The
-same numbers come from a written index (``write_index``, ``measure_index``), where a
-query reads only the row groups of its terms.
+same numbers come from a written index (``Index``), where a query reads only the row
+groups of its terms.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from autuario.functions.text import tokens
 from autuario.plans.language import Leaf, Node, leaves
-from autuario.runtime import cut, partitions, spread
+from autuario.runtime import checkpoint_root, cut, is_kept, kept, partitions_for, read_small, spread, write_small
 
 #: Parameters of BM25, and its least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -99,54 +101,129 @@ def best_first(df: DataFrame, date: str = "publication") -> list[Column]:
 
 
 def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``term, id, tf, positions, length``: the inverted index of whole texts, made within the row."""
-    words = _words(df, id_col, text_col).dropDuplicates(["id"]).where(F.size("w") > 0)
+    """``term, id, tf, positions, length``: the inverted index of whole texts, made within the row.
+
+    Each document has one more row, of the empty term, so that its length is known
+    whatever it holds.
+    """
+    words = _words(df, id_col, text_col).dropDuplicates(["id"])
     placed = words.select("id", F.size("w").alias("length"), F.array_sort(F.transform("w", lambda x, i: F.struct(x.alias("term"), i.alias("pos")))).alias("s"))
     term = lambda i: F.get("s", i)["term"]
-    begun = placed.select("*", F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (term(i - 1) != term(i - 2))).alias("a"))
+    begun = placed.select("*", F.when(F.col("length") > 0, F.filter(F.sequence(F.lit(1), F.greatest("length", F.lit(1))), lambda i: (i == 1) | (term(i - 1) != term(i - 2)))).otherwise(F.array().cast("array<int>")).alias("a"))
     after = lambda i: F.when(i + 1 < F.size("a"), F.get("a", i + 1)).otherwise(F.col("length") + 1)
     runs = F.transform("a", lambda s, i: F.struct(term(s - 1).alias("term"), F.transform(F.slice("s", s, after(i) - s), lambda x: x["pos"]).alias("positions")))
-    each = begun.select("id", "length", F.explode(runs).alias("x"))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.array().cast("array<int>").alias("positions")))
+    each = begun.select("id", "length", F.explode(F.concat(whole, runs)).alias("x"))
     return each.select("x.term", "id", F.size("x.positions").alias("tf"), "x.positions", "length")
 
 
-def write_index(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
-    """Write the index sorted by term and id, so that a query's terms are in few row groups, and the corpus's size.
+class Index:
+    """A written index of texts: sorted segments, and a manifest written last.
 
-    The range partitioning includes the id: a term of a third of all texts is spread.
+    A segment holds the postings of some documents, sorted by term and id, so that a
+    query's terms are in few row groups; the range partitioning includes the id, which
+    spreads a term of a third of all texts. New and changed documents come as a further
+    segment, and ids that left an earlier one are kept in its list of gone ids, so an update
+    costs what it brings. ``compact`` writes one segment again.
     """
-    _write_index(postings(df, id_col, text_col), _lengths(df, id_col, text_col), path)
-
-
-def _lengths(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _words(df, id_col, text_col).select("id", F.size("w").alias("length")).dropDuplicates(["id"])
 
-
-def _write_index(found: DataFrame, lengths: DataFrame, path: str) -> None:
-    spark = found.sparkSession
-    found.repartitionByRange(partitions(spark), "term", "id").sortWithinPartitions("term", "id").write.mode("errorifexists").parquet(f"{path}/postings")
-    lengths.write.mode("errorifexists").parquet(f"{path}/lengths")
-    spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).coalesce(1).write.parquet(f"{path}/size")
-
-
-def replace_in_index(df: DataFrame, id_col: str, text_col: str, gone: DataFrame, old: str, path: str) -> None:
-    """Write the index ``old`` to ``path`` with the texts of ``df`` new or in place of those of their ids, and without the ids of ``gone``.
-
-    Postings of other documents are taken over as they are; a changed text that is null leaves the index.
-    """
-    spark = df.sparkSession
-    out = df.select(F.col(f"`{id_col}`").alias("id")).unionByName(gone.select(F.col(f"`{id_col}`").alias("id"))).distinct()
-    kept = lambda name: spark.read.parquet(f"{old}/{name}").join(out, "id", "left_anti")
-    back = df.join(gone.select(id_col).distinct(), id_col, "left_anti")
-    _write_index(kept("postings").unionByName(postings(back, id_col, text_col)), kept("lengths").unionByName(_lengths(back, id_col, text_col)), path)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        held = read_small(spark, f"{self.path}/index.json")
+        self.manifest = json.loads(held) if held else {"segments": [], "documents": 0, "tokens": 0}
+
+    def _keep(self, **changes) -> "Index":
+        write_small(self.spark, f"{self.path}/index.json", json.dumps(self.manifest | changes))
+        return Index(self.spark, self.path)
+
+    def _write(self, found: DataFrame, segment: str) -> None:
+        found.repartitionByRange(partitions_for(found), "term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{self.path}/{segment}")
+
+    def _size(self, rows: DataFrame) -> tuple[int, int]:
+        r = rows.where("term = ''").agg(F.count("*").alias("n"), F.sum("length").alias("t")).first()
+        return r["n"], r["t"] or 0
+
+    def _segment(self, s: dict) -> DataFrame:
+        """A segment's rows, without those of ids that are gone from it."""
+        rows = self.spark.read.parquet(f"{self.path}/{s['path']}")
+        for gone, n in s["gone"]:
+            ids = self.spark.read.parquet(f"{self.path}/{gone}")
+            rows = rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_anti")
+        return rows
+
+    def rows(self) -> DataFrame:
+        """All postings."""
+        parts = [self._segment(s) for s in self.manifest["segments"]]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "term string, id string, tf int, positions array<int>, length int")
+
+    def replace(self, df: DataFrame, id_col: str, text_col: str, gone: DataFrame | None = None) -> "Index":
+        """The index with the texts of ``df``, new or in place of those of their ids, and without the ids of ``gone``.
+
+        A changed text that is null leaves the index. An index without segments is written whole.
+        """
+        tag = uuid.uuid4().hex[:12]
+        old = self.manifest["segments"]
+        fresh = df if gone is None else df.join(gone.select(id_col).distinct(), id_col, "left_anti")
+        self._write(postings(fresh, id_col, text_col), f"segment-{tag}")
+        added = {"path": f"segment-{tag}", "gone": []}
+        n, t = self._size(self._segment(added))
+        if old:
+            ids = df.select(F.col(f"`{id_col}`").alias("id"))
+            out = ids if gone is None else ids.unionByName(gone.select(F.col(f"`{id_col}`").alias("id")))
+            out.where("id is not null").distinct().write.mode("overwrite").parquet(f"{self.path}/gone-{tag}")
+            ids = self.spark.read.parquet(f"{self.path}/gone-{tag}")
+            count = ids.count()
+            lost, tokens_lost = self._size(self.rows().where("term = ''").join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "id", "left_semi"))
+            old = [s | {"gone": [*s["gone"], [f"gone-{tag}", count]]} for s in old]
+            n, t = n + self.manifest["documents"] - lost, t + self.manifest["tokens"] - tokens_lost
+        return self._keep(segments=[*old, added], documents=n, tokens=t)
+
+    def compact(self) -> "Index":
+        """One segment in place of all."""
+        tag = uuid.uuid4().hex[:12]
+        self._write(self.rows(), f"segment-{tag}")
+        return self._keep(segments=[{"path": f"segment-{tag}", "gone": []}])
+
+    def measure(self, tree: Leaf | Node) -> DataFrame:
+        """As ``measure``, of the documents that have a token of the query; reads its terms' row groups only."""
+        return _measure_postings(self.rows(), tree)
+
+    def statistics(self, measured: DataFrame, n_leaves: int) -> tuple[int, float, list[int]]:
+        """As ``statistics``: the size is the index's, the documents with each leaf are among those measured."""
+        n = self.manifest["documents"]
+        return n, self.manifest["tokens"] / n if n else 0.0, statistics(measured, n_leaves)[2]
+
+    def ranked(self, tree: Leaf | Node, keep: DataFrame | None = None) -> DataFrame:
+        """As ``ranked``; only matches among the ids of ``keep`` are scored, if it is given."""
+        order = leaves(tree)
+        held = cut(self.measure(tree), "search-measured")
+        found = held.where(matches(tree, order))
+        found = found if keep is None else found.join(keep, "id")
+        return found.withColumn("score", bm25(self.statistics(held, len(order)))).drop("length")
+
+
+#: Ids up to this number are broadcast (some 30 bytes each).
+BROADCAST_IDS = 100_000
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def index_for(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, name: str) -> Index:
+    """The index of a table's texts, written in the shared folder on first use in an application."""
+    key = (spark.sparkContext.applicationId, name, text_col)
+    if key not in _INDEXES or not is_kept(_INDEXES[key]):
+        path = f"{checkpoint_root(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        Index(spark, path).replace(df, id_col, text_col)
+        kept(spark, path)
+        _INDEXES[key] = path
+    return Index(spark, _INDEXES[key])
 
 
 def _shifted(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
 
 
-def measure_index(spark: SparkSession, path: str, tree: Leaf | Node) -> DataFrame:
-    """As ``measure``, from a written index, of the documents that have a token of the query; reads its terms' row groups only."""
+def _measure_postings(rows: DataFrame, tree: Leaf | Node) -> DataFrame:
+    """``id, length, hits`` of the documents that have a token of the query."""
     found = leaves(tree)
     wanted = F.lit(False)
     for leaf in found:
@@ -167,19 +244,10 @@ def measure_index(spark: SparkSession, path: str, tree: Leaf | Node) -> DataFram
             sets.append(_shifted(F.flatten(F.collect_list(F.when(is_term, F.col("positions")))), k))
         return F.size(reduce(F.array_intersect, sets))
 
-    spots = spark.read.parquet(f"{path}/postings").where(wanted)
+    spots = rows.where(wanted)
     return spots.groupBy("id").agg(F.first("length").alias("length"), F.array(*[hits(x) for x in found]).alias("hits"))
 
 
-def ranked_index(spark: SparkSession, path: str, tree: Leaf | Node) -> DataFrame:
-    """As ``ranked``, from a written index."""
-    order = leaves(tree)
-    measured = measure_index(spark, path, tree)
-    size = spark.read.parquet(f"{path}/size").first()
-    _, _, documents = statistics(measured, len(order))
-    return measured.where(matches(tree, order)).select("id", bm25((size["n"], size["mean"] or 0.0, documents)).alias("score"), "hits")
-
-
 def present_terms(order: list[Leaf]) -> Column:
     """The query's terms found in a document, in the query's order."""
     return F.array_compact(F.array(*[F.when(F.col("hits")[i] > 0, F.lit(x.text + "*" * x.prefix)) for i, x in enumerate(order)]))
@@ -238,12 +306,38 @@ def vocabulary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
 
 
-def seed_terms(df: DataFrame, id_col: str, text_col: str, seed: str, most: int = 25, least_documents: int = 5, share: float = 0.25) -> DataFrame:
-    """``term, weight``: the seed document's terms by tf-idf: letters only, three or more, neither rare nor common."""
-    own = df.where((F.col(id_col) == seed) & F.col(text_col).isNotNull()).select(tokens(F.col(text_col)).alias("w")).limit(1)
+def seed_terms(index: Index, text: DataFrame, text_col: str, most: int = 25, least_documents: int = 5, share: float = 0.25) -> DataFrame:
+    """``term, weight``: a document's terms by tf-idf: letters only, three or more, neither rare nor common.
+
+    ``text`` is the document's row; its terms' documents are counted in the index, by row groups of these terms.
+    """
+    own = text.where(F.col(text_col).isNotNull()).select(tokens(F.col(text_col)).alias("w")).limit(1)
     mine = own.select(F.explode("w").alias("term")).where(F.col("term").rlike(r"^\p{L}{3,}$")).groupBy("term").agg(F.count("*").alias("tf"))
-    words = _words(df, id_col, text_col).dropDuplicates(["id"])
-    held = words.select("id", F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(mine.select("term")), "term")  # the terms of one document
-    n = df.where(F.col(text_col).isNotNull()).select(id_col).distinct().count()
+    said = [(r["term"], r["tf"]) for r in mine.collect()]  # the vocabulary of one document
+    spark, n = text.sparkSession, index.manifest["documents"]
+    if not said or not n:
+        return spark.createDataFrame([], "term string, weight double")
+    held = index.rows().where(F.col("term").isin([t for t, _ in said]))
     counts = held.groupBy("term").agg(F.count("*").alias("documents")).where((F.col("documents") >= least_documents) & (F.col("documents") <= share * n))
-    return counts.join(mine, "term").select("term", (F.col("tf") * F.log(F.lit(float(n)) / F.col("documents"))).alias("weight")).orderBy(F.round("weight", 9).desc(), "term").limit(most)
+    weight = F.col("tf") * F.log(F.lit(float(n)) / F.col("documents"))
+    return counts.join(F.broadcast(spark.createDataFrame(said, "term string, tf long")), "term").select("term", weight.alias("weight")).orderBy(F.round("weight", 9).desc(), "term").limit(most)
+
+
+# -- several fields -------------------------------------------------------------
+
+def measure_fields(df: DataFrame, id_col: str, fields: list[str], tree: Leaf | Node) -> DataFrame:
+    """``id, length, hits``: the length of all fields together and, per leaf, the hits in each field."""
+    found = leaves(tree)
+    rows = df.select(F.col(id_col).alias("id"), *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"w{i}") for i, f in enumerate(fields)]).dropDuplicates(["id"])
+    length = reduce(Column.__add__, [F.size(f"w{i}") for i in range(len(fields))])
+    hits = F.array(*[F.array(*[_hits(F.col(f"w{i}"), x) for i in range(len(fields))]) for x in found])
+    return rows.select("id", length.alias("length"), hits.alias("fields"))
+
+
+def in_fields(measured: DataFrame, weights: list[float], only: int | None = None) -> DataFrame:
+    """``id, length, hits, matched``: hits weighed by field, and the places of the fields that have any; ``only``: one field counts."""
+    used = range(len(weights)) if only is None else [only]
+    total = lambda h: reduce(Column.__add__, [h[i].cast("double") * F.lit(float(weights[i])) for i in used])
+    hit = lambda i: F.exists("fields", lambda h: h[i] > 0)
+    matched = F.array_compact(F.array(*[F.when(hit(i), F.lit(i)) for i in used]))
+    return measured.select("id", "length", F.transform("fields", total).alias("hits"), matched.alias("matched"))

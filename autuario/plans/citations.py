@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autuario.operators import citations as C
-from autuario.operators.sections import HEADING, HEADINGS, sections
+from autuario.operators.sections import sections
 from autuario.sources.tables import table
 
 
@@ -106,12 +106,38 @@ QUERIES = {f.__name__: f for f in (
     filter_citing, graph_degrees, graph_who_cites, reference_check,
 )}
 
-_TITLE = "case regexp_extract(upper(strip_accents(left(ltrim(part, e' \\t\\r\\n'), 60))), '(%s)', 1) %s end" % ("|".join(HEADINGS), " ".join(f"when '{k}' then '{v}'" for k, v in HEADINGS.items()))
+# Written apart from the operators' tables, so that either shows the other's faults.
+_HEADING = (
+    "(?im)^([ \\t]*([IVX]+[ \\t]*[.:–-][ \\t]*)?((caso em exame|hip[oó]tese em exame|quest[aã]o em discuss[aã]o|raz[oõ]es de decidir|dispositivo e tese|tese de julgamento"
+    "|dispositivos relevantes citados|jurisprud[eê]ncia relevante citada)[ \\t]*([:.–-]|\\r?$)|(?-i:D)ispositivo[ \\t]*[:.–-]?[ \\t]*\\r?$))"
+)
+_NAMED = """case when i = 1 then 'cabecalho' when h like '%caso em exame%' or h like '%hipotese em exame%' then 'caso_em_exame' when h like '%questao em discussao%' then 'questao_em_discussao'
+ when h like '%razoes de decidir%' then 'razoes_de_decidir' when h like '%tese de julgamento%' then 'tese_na_ementa' when h like '%dispositivos relevantes citados%' then 'dispositivos_citados'
+ when h like '%jurisprudencia relevante citada%' then 'jurisprudencia_citada' else 'dispositivo_e_tese' end"""
 _SPANS = f"""e as (select distinct id, ementa from search where id is not null and ementa is not null),
- p as (select id, sha256(ementa) as digest, string_split(regexp_replace(ementa, '{HEADING}', chr(1) || '\\1', 'g'), chr(1)) as parts from e),
- x as (select id, digest, i, parts[i] as part, list_sum(list_transform(parts[1:i-1], lambda s: length(s)))::int as start from (select *, unnest(range(1, len(parts) + 1)) as i from p where len(parts) > 1)),
- n as (select *, case when i = 1 then 'cabecalho' else {_TITLE} end as name from x),
+ p as (select id, ementa, sha256(ementa) as digest, string_split(regexp_replace(ementa, '{_HEADING}', chr(1) || '\\1', 'g'), chr(1)) as parts from e),
+ x as (select id, digest, i, parts[i] as part, list_sum(list_transform(parts[1:i-1], lambda s: length(s)))::int as start, lower(strip_accents(regexp_extract(parts[i], '{_HEADING}', 1))) as h from (select *, unnest(range(1, len(parts) + 1)) as i from p where len(parts) > 1)),
+ n as (select *, {_NAMED} as name from x),
  s as (select id, name, coalesce(start, 0)::int as start, (coalesce(start, 0) + length(part))::int as "end", digest, part as text from n where id not in (select id from n group by id having count(*) <> count(distinct name)) and (name <> 'cabecalho' or trim(part) <> ''))"""
+_LABEL = "dispositivos relevantes citados|jurisprud[eê]ncia relevante citada"
+_CLOSING = f"""{_SPANS}, cl as (select id, name, text from s where name in ('dispositivos_citados', 'jurisprudencia_citada')),
+ fb as (select id, k.name, regexp_extract(ementa, '(?is)^.*((' || k.l || ')\\s*[:.].*)$', 1) as rest from e, (values ('dispositivos_citados', 'dispositivos relevantes citados'), ('jurisprudencia_citada', 'jurisprud[eê]ncia relevante citada')) k(name, l) where id not in (select id from cl)),
+ li as (select id, name, text from cl union all select id, name, regexp_extract(rest, '(?is)^(.+?)(\\r?\\n\\s*({_LABEL}).*)?$', 1) from fb where rest <> ''),
+ ln as (select id, name, regexp_replace(text, '(?i)^\\s*({_LABEL})\\s*[:.]?\\s*', '') as line from li)"""
+_SIGLAS = "AgInt|AgRg|EDcl|EREsp|EAREsp|AREsp|REsp|RMS|RHC|HC|CC|ARE|ADI|ADPF|ADC|Rcl|MS|Pet|AR|RE|EmbDiv|SLS|SS|CR|HD|MI|RO"
+# Items as the tables here have them: class and number, or a national number; no item names a precedent.
+_JUDGMENTS = f"""{_CLOSING}, it as (select id, k, trim(item, ' .' || chr(9) || chr(10) || chr(13)) as texto from (select id, unnest(string_split(line, ';')) as item, generate_subscripts(string_split(line, ';'), 1) as k from ln where name = 'jurisprudencia_citada')),
+ ks as (select id, k, texto, replace(upper(regexp_extract(texto, '^(?:[Ee]\\s+)?(STF|STJ|TST|TSE|TJ-?[A-Z]{{2}})\\b', 1)), '-', '') as court, regexp_replace(regexp_extract(texto, '\\b(\\d{{7}}-?\\d{{2}}\\.?\\d{{4}}\\.?\\d\\.?\\d{{2}}\\.?\\d{{4}})\\b', 1), '[^0-9]', '', 'g') as nat,
+ regexp_extract(texto, '\\b((?:{_SIGLAS})(?:\\s+n[oa]s?\\s+(?:{_SIGLAS}))*)\\s*(?:n[.º°]*)?\\s*(\\d{{1,3}}(?:\\.\\d{{3}})+|\\d{{1,9}})', ['c', 'n']) as m from it where texto <> ''),
+ ju as (select id, (row_number() over (partition by id order by k) - 1)::int as ord, 'acordao' as tipo, case when nat <> '' then case when court <> '' then court || ':' || nat when nat[14:16] = '824' then 'TJSC:' || nat end
+ when m.n <> '' and court in ('', 'STJ', 'STF') then coalesce(nullif(court, ''), 'STJ') || ':' || upper(regexp_replace(m.c, '\\s+', ' ', 'g')) || ':' || replace(m.n, '.', '')::bigint end as chave, texto from ks)"""
+# Lines as the tables here have them: after each statute one article; a line without a statute is one row.
+_STATUTE = "(?i:lei complementar|lei|decreto-lei|decreto)\\s+[\\d.]+/\\d{2,4}|\\b(?:NCPC|CPC|CC|CRFB|CF|ECA|CDC|CLT|CTN|CPP|CP|LINDB|RISTJ)\\b"
+_PROVISIONS = f"""{_CLOSING}, pl as (select id, trim(line, ' ' || chr(9) || chr(10) || chr(13)) as line, regexp_extract_all(line, '(?:{_STATUTE})[\\s,;:.]*(?i:artigos?|arts?)?[\\s,;:.]*\\d*(?:\\.\\d{{3}})*') as a from ln where name = 'dispositivos_citados'),
+ pa as (select id, unnest(a) as t, generate_subscripts(a, 1) as k from pl where len(a) > 0),
+ pb as (select id, k, regexp_extract(t, '^({_STATUTE})', 1) as st, regexp_extract(t, '(\\d[\\d.]*)$', 1) as art, regexp_matches(t, '^(?:{_STATUTE})[\\s,;:.]*(?i:artigos?|arts?)?[\\s,;:.]*\\d') as has from pa),
+ pv as (select id, (k - 1)::int as ord, replace(upper(st), 'LEI COMPLEMENTAR', 'LC') || ':' || case when has then replace(art, '.', '')::int::varchar else '*' end as chave, st || case when has then ', art. ' || art else '' end as texto from pb
+ union all select id, 0, null, line from pl where len(a) = 0 and line <> '')"""
 _NORM = """case when upper(trim(split_part(chave, ':', 1))) = 'STJ' then 'k|STJ:' || trim(upper(regexp_replace(regexp_replace(chave, '^[^:]*:', ''), ':?[^:]*$', ''))) || ':' || regexp_replace(regexp_extract(chave, '[^:]*$'), '[^0-9]', '', 'g')
  when upper(trim(split_part(chave, ':', 1))) = 'TJSC' then 'k|TJSC:' || regexp_replace(regexp_extract(chave, '[^:]*$'), '[^0-9]', '', 'g') end"""
 _RESOLVED = f"""t as (select case when tribunal = 'STJ' then 'k|STJ:' || trim(upper(classe)) || ':' || process else 'k|TJSC:' || process end as key, id from documents union all select 'p|' || id, id from precedents),
@@ -126,6 +152,8 @@ SQL = {
  select tipo, case when said is null then 'not_stated' when judgment is null then 'not_held' when said = judgment then 'agrees' else 'differs' end as state, count(*) as n from s group by all""",
     "pending_numbers": """select number, count(distinct document_id) as cited_by from (select document_id, regexp_replace(chave, '[^0-9]', '', 'g') as number from document_citations where tipo = 'acordao' and chave like 'TJSC:%')
  where number <> '' and number not in (select process from documents where tribunal = 'TJSC' and process is not null) group by number""",
+    "citations_judgments": f"with {_JUDGMENTS} select id, ord, tipo, chave, texto from ju",
+    "citations_provisions": f"with {_PROVISIONS} select id, ord, chave, texto from pv",
     "section_spans": f'with {_SPANS} select id, name, start, "end", digest from s',
     "section_counts": f'with {_SPANS} select name, count(*) as n, sum("end" - start) as characters from s group by name',
     "citations_first": "select document_id, tipo, case when chave <> '' then chave else texto end as cited, min(ord) as ord from document_citations group by 1, 2, 3",

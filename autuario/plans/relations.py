@@ -357,6 +357,10 @@ _NUMBER = "regexp_replace(process, '^(\\d{7})(\\d{2})(\\d{4})(\\d)(\\d{2})(\\d{4
 _CHECK = "lpad((98 - (substr(process, 1, 7) || substr(process, 10, 11) || '00')::hugeint % 97)::varchar, 2, '0')"
 
 SQL = {
+    "headers": """with e as (select distinct id, ementa from search where id is not null and ementa is not null), l as (select id, string_split(regexp_replace(ementa, '^\\s+', ''), chr(10)) as lines from e),
+ b as (select id, lines, list_position(list_transform(lines, lambda x: regexp_matches(x, '^\\s*$') or regexp_matches(x, '^\\s*(\\d{1,3}|[IVX]{1,5})\\s*[.)–-]') or regexp_matches(x, '(?i)^[ \\t]*([IVX]+[ \\t]*[.:–-][ \\t]*)?((caso em exame|hip[oó]tese em exame|quest[aã]o em discuss[aã]o|raz[oõ]es de decidir|dispositivo e tese|tese de julgamento|dispositivos relevantes citados|jurisprud[eê]ncia relevante citada)[ \\t]*([:.–-]|\\r?$)|(?-i:D)ispositivo[ \\t]*[:.–-]?[ \\t]*\\r?$)')), true) as stop from l),
+ h as (select id, regexp_replace(array_to_string(lines[1:case when stop is null or stop = 0 then len(lines) else greatest(stop - 1, 1) end], chr(10)), '\\s+$', '') as h from b)
+ select id, rtrim(case when length(h) <= 120 then h when regexp_extract(h[1:121], '(?s)^(.*\\S)\\s', 1) <> '' then regexp_extract(h[1:121], '(?s)^(.*\\S)\\s', 1) else h[1:120] end) as header from h""",
     "catalog_upsert": """with l as (select id, case when rank_key > '20250601' then sha256 || '2' else sha256 end as s from resources where status <> 'error')
  select r.id, coalesce(l.s, r.sha256) as sha256, case when status = 'ok' then r.sha256 end as applied, l.id is not null as present, l.id is not null and l.s is distinct from (case when status = 'ok' then r.sha256 end) as pending from resources r left join l using (id)""",
     "export_changes": """with n as (select id, sha256('# ' || id || chr(10) || chr(10) || concat_ws(chr(10), '- classe: ' || classe, '- julgamento: ' || judgment) || chr(10) || chr(10) || hash || chr(10)) as s from documents),

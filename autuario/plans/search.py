@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autuario.functions.text import folded, tokens
+from autuario.functions.text import folded
 from autuario.operators import search as S
 from autuario.plans.language import Leaf, Node, broadened, leaves, parse_advanced, parse_simple
-from autuario.runtime import checkpoint_root, cut, is_kept, kept
+from autuario.runtime import checkpoint_root, cut, kept
 from autuario.sources.tables import table
 
 RANKED, PHRASE, PREFIX = "partilha de bens pensão mensal", '"partilha de bens"', "partilh* usucap*"
@@ -27,14 +27,19 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("id", "tribunal", "organ", "judgment", "publication")
 
 
+def _index(spark: SparkSession, d: str) -> S.Index:
+    """The written index of the ementas, made on first use in an application."""
+    return S.index_for(spark, _ementas(spark, d), "id", "ementa", d)
+
+
 def _measured(spark: SparkSession, d: str, tree) -> DataFrame:
-    return S.measure(_ementas(spark, d), "id", "ementa", tree)
+    return _index(spark, d).measure(tree)
 
 
 def _top(spark: SparkSession, d: str, tree, keep=None, k: int = 8) -> DataFrame:
-    found = S.ranked(_measured(spark, d, tree), tree)
+    """The best of the matches; filters come before the scores, dates after the cut where there is none."""
     documents = _documents(spark, d)
-    page = found.join(documents if keep is None else documents.where(keep), "id")
+    page = _index(spark, d).ranked(tree, documents if keep is None else documents.where(keep))
     return page.orderBy(F.round("score", 6).desc(), F.col("publication").desc_nulls_last(), F.col("id")).limit(k).select("id", F.round("score", 6).alias("score"), "publication")
 
 
@@ -101,24 +106,18 @@ def search_empty_reason(spark, d):
     return n.select("total", "unfiltered", reason.alias("reason"))
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
-def index_of(spark: SparkSession, d: str) -> str:
-    """The written index of the ementas, made on first use in an application."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES or not is_kept(_INDEXES[key]):
-        path = f"{checkpoint_root(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-        S.write_index(_ementas(spark, d), "id", "ementa", path)
-        kept(spark, path)
-        _INDEXES[key] = path
-    return _INDEXES[key]
+def search_index_rank(spark, d):
+    """The ranked query of a phrase and a word."""
+    return _top(spark, d, parse_simple('"partilha de bens" usucapião'))
 
 
-def search_index_rank(spark, d):
-    """The ranked query of a phrase and a word from a written index."""
-    tree = parse_simple('"partilha de bens" usucapião')
-    found = S.ranked_index(spark, index_of(spark, d), tree).join(_documents(spark, d), "id")
+def search_index_updated(spark, d):
+    """The best after an update of an index: the STJ's documents first, then the state court's with one of every two STJ ids gone, and merged segments."""
+    e = _ementas(spark, d)
+    path = f"{checkpoint_root(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    kept(spark, path)
+    index = S.Index(spark, path).replace(e.where("id like 'STJ:%'"), "id", "ementa").replace(e.where("id like 'TJSC:%'"), "id", "ementa", e.where("id like 'STJ:%0'").select("id"))
+    found = index.ranked(parse_simple(RANKED), _documents(spark, d))
     return found.orderBy(F.round("score", 6).desc(), F.col("publication").desc_nulls_last(), "id").limit(8).select("id", F.round("score", 6).alias("score"), "publication")
 
 
@@ -139,34 +138,58 @@ def _seed(spark, d) -> str:
     return table(spark, d, "documents").where("tribunal = 'STJ'").agg(F.min("id")).first()[0]
 
 
+def _seed_terms(spark, d, seed: str) -> DataFrame:
+    return S.seed_terms(_index(spark, d), _ementas(spark, d).where(F.col("id") == seed), "ementa")
+
+
 def similar_terms(spark, d):
     """The seed document's 25 strongest terms."""
-    return S.seed_terms(_ementas(spark, d), "id", "ementa", _seed(spark, d)).select("term", F.round("weight", 6).alias("weight"))
+    return _seed_terms(spark, d, _seed(spark, d)).select("term", F.round("weight", 6).alias("weight"))
 
 
 def similar_docs(spark, d):
     """Documents by the seed's terms, without the seed."""
     seed = _seed(spark, d)
-    terms = [r["term"] for r in S.seed_terms(_ementas(spark, d), "id", "ementa", seed).collect()]  # 25 at most
+    terms = [r["term"] for r in _seed_terms(spark, d, seed).collect()]  # 25 at most
     if len(terms) < 3:
         return spark.createDataFrame([], "id string, score double, publication date")
     return _top(spark, d, Node("or", tuple(Leaf(t, (t,)) for t in terms)), F.col("id") != seed)
 
 
+# The text fields of a precedent and their weights.
+PRECEDENT_FIELDS = {"enunciado": 3.0, "questao_submetida": 1.0, "tese_firmada": 3.0, "modulacao": 0.5, "suspensao": 0.5}
+PRECEDENT_QUERY = "prazo contrato locatário"
+
+
+def precedent_texts(precedents: DataFrame, versions: DataFrame) -> DataFrame:
+    """Precedents with the text fields of their latest body."""
+    latest = versions.where("observed is not null").groupBy("id").agg(F.max_by("body", F.struct("observed", "hash")).alias("body"))
+    return precedents.join(latest, "id").select(*precedents.columns, *[F.get_json_object("body", f"$.componentes.{f}").alias(f) for f in PRECEDENT_FIELDS], F.get_json_object("body", "$.materia").alias("materia"))
+
+
+def ranked_precedents(texts: DataFrame, tree, field: str | None = None) -> DataFrame:
+    """``id, score, fields``: BM25 over the weighted fields, or one of them, and the fields that match."""
+    names, order = list(PRECEDENT_FIELDS), leaves(tree)
+    measured = S.measure_fields(texts, "id", names, tree)
+    held = cut(S.in_fields(measured, list(PRECEDENT_FIELDS.values()), None if field is None else names.index(field)), "search-measured")
+    named = F.transform("matched", lambda i: F.element_at(F.array(*map(F.lit, names)), i + 1))
+    return held.where(S.matches(tree, order)).select("id", S.bm25(S.statistics(held, len(order))).alias("score"), F.array_join(named, "|").alias("fields"))
+
+
+def _precedent_page(spark, d, tree, field=None) -> DataFrame:
+    precedents = table(spark, d, "precedents")
+    found = ranked_precedents(precedent_texts(precedents, table(spark, d, "precedent_versions")), tree, field).join(precedents.select("id", "publication"), "id")
+    return found.orderBy(F.round("score", 6).desc(), F.col("publication").desc_nulls_last(), "id").limit(10).select("id", F.round("score", 6).alias("score"), "fields")
+
+
 def precedent_search(spark, d):
-    """Weighted BM25 over two fields of precedents: hits in the statement count three times those in the organ."""
-    tree = parse_simple("prazo mora câmara")
-    order = leaves(tree)
-    latest = table(spark, d, "precedent_versions").where("observed is not null").groupBy("id").agg(F.max_by("body", F.struct("observed", "hash")).alias("body"))
-    fields = table(spark, d, "precedents").join(latest, "id").select("id", "publication", F.coalesce(F.get_json_object("body", "$.componentes.enunciado"), F.lit("")).alias("a"), F.coalesce("organ", F.lit("")).alias("b"))
-    a, b = (fields.select("id", tokens(F.col(c)).alias("w")).select("id", F.size("w").alias("n"), F.array(*[S._hits(F.col("w"), x) for x in order]).alias("h")) for c in "ab")
-    both = a.join(b.select("id", F.col("n").alias("m"), F.col("h").alias("g")), "id").select(
-        "id", (F.col("n") + F.col("m")).alias("length"), F.transform(F.arrays_zip("h", "g"), lambda x: x["h"] * 3 + x["g"]).alias("hits"),
-        F.array_join(F.array_compact(F.array(F.when(F.exists("h", lambda x: x > 0), "enunciado"), F.when(F.exists("g", lambda x: x > 0), "orgao"))), "|").alias("fields"),
-    )
-    held = cut(both, "search-measured")
-    scored = held.where(S.matches(tree, order)).select("id", F.round(S.bm25(S.statistics(held, len(order))), 6).alias("score"), "fields")
-    return scored.join(table(spark, d, "precedents").select("id", "publication"), "id").orderBy(F.desc("score"), F.col("publication").desc_nulls_last(), "id").limit(10).select("id", "score", "fields")
+    """Precedents by BM25 over five weighted fields."""
+    return _precedent_page(spark, d, parse_simple(PRECEDENT_QUERY))
+
+
+def precedent_search_field(spark, d):
+    """Precedents by one field."""
+    return _precedent_page(spark, d, parse_simple(PRECEDENT_QUERY), "enunciado")
 
 
 def index_integrity(spark, d):
@@ -211,7 +234,7 @@ def fused_ranks(spark, d):
 QUERIES = {f.__name__: f for f in (
     dense_nearest, dense_nearest_each, fused_ranks,
     search_rank_or, search_rank_phrase, search_rank_prefix, search_boolean_nested, search_date_order, search_broadened, search_term_counts, search_total,
-    search_empty_reason, search_index_rank, search_snippets, vocab_df, similar_terms, similar_docs, precedent_search, index_integrity, filter_contains_folded,
+    search_empty_reason, search_index_rank, search_index_updated, search_snippets, vocab_df, similar_terms, similar_docs, precedent_search, precedent_search_field, index_integrity, filter_contains_folded,
 )}
 
 _TOKENS = "list_filter(string_split_regex(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -237,6 +260,20 @@ def _sql_measured(tree, more: str = "") -> str:
     return f"with {_W}, m as (select id, len(w) as dl, {hits}{more} from w)"
 
 
+def _sql_precedents(tree, field: str | None = None) -> str:
+    order, names = leaves(tree), list(PRECEDENT_FIELDS)
+    used = names if field is None else [field]
+    count = lambda f, x: _sql_hits(x).replace("(w,", f"(w_{f},")
+    hits = ", ".join(f"{' + '.join(f'{PRECEDENT_FIELDS[f]} * {count(f, x)}' for f in used)} as h{i}" for i, x in enumerate(order))
+    named = ", ".join(f"case when {' + '.join(count(f, x) for x in order)} > 0 then '{f}' end" for f in used)
+    stats = ", ".join(f"count(*) filter (h{i} > 0) as d{i}" for i in range(len(order)))
+    score = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * h{i} * 2.2 / (h{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in range(len(order)))
+    words = ", ".join(_TOKENS.format(f"coalesce(body ->> '$.componentes.{f}', '')") + f" as w_{f}" for f in names)
+    return f"""with l as (select id, body from precedent_versions where observed is not null qualify row_number() over (partition by id order by observed desc, hash desc) = 1),
+ t as (select p.id, p.publication, {words} from precedents p join l on l.id = p.id), m as (select id, publication, {' + '.join(f'len(w_{f})' for f in names)} as dl, {hits}, concat_ws('|', {named}) as fields from t),
+ s as (select count(*) as n, avg(dl) as mean, {stats} from m) select id, round({score}, 6) as score, fields from m, s where {_sql_match(tree, order)} order by round({score}, 6) desc, publication desc nulls last, id limit 10"""
+
+
 def _sql_scored(tree) -> str:
     order = leaves(tree)
     stats = ", ".join(f"count(*) filter (h{i} > 0) as d{i}" for i in range(len(order)))
@@ -260,7 +297,17 @@ def _sql_page(tree, k: int) -> str:
     return f"({_sql_top(tree)[: -len('limit 8')]} limit {k})"
 
 
+_UPDATED = _sql_top(_OR).replace("from search where", "from search where id not like 'STJ:%0' and", 1)
+_SNIPPETS = f"""with k as (select id from {_sql_page(_OR, 8)}), {_W}, t as (select id, w from w where id in (select id from k)),
+ s as (select id, w, i, len(list_distinct(list_filter(w[i:i + 15], lambda x: x in ({', '.join(repr(x.tokens[0]) for x in leaves(_OR))})))) as n from (select id, w, unnest(range(1, greatest(len(w) - 15, 1) + 1)) as i from t)),
+ b as (select *, row_number() over (partition by id order by n desc, i) as r from s)
+ select id, (i - 1)::int as first_token, n::int as distinct_terms, array_to_string(w[i:i + 15], ' ') as snippet from b where r = 1"""
+
 SQL = {
+    "search_index_updated": _UPDATED,
+    "search_snippets": _SNIPPETS,
+    "precedent_search": _sql_precedents(parse_simple(PRECEDENT_QUERY)),
+    "precedent_search_field": _sql_precedents(parse_simple(PRECEDENT_QUERY), "enunciado"),
     "dense_nearest": "select vec_id as id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)), 5) as similarity from embeddings order by round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings order by vec_id limit 1)), 9) desc, vec_id limit 10",
     "dense_nearest_each": """select query, id, round(c, 5) as similarity from (select q.vec_id as query, v.vec_id as id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) as c from embeddings q, embeddings v where q.vec_id % 50 = 0)
  qualify row_number() over (partition by query order by round(c, 9) desc, id) <= 10""",

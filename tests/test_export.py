@@ -49,11 +49,11 @@ def test_header(spark):
 
 def test_source_fields(spark, rows):
     df = spark.createDataFrame([(
-        "d", ["LEG:FED LEI:013105 ANO:2015\n***** CPC-15\nART:00085 PAR:00002 ART:01015", "LEG:FED SUM:****** ANO:****\n***** SUM(STJ) SÚMULA\nSUM:000007", "LEG:FED LEI:008560 ANO:1992\nART:00002A", "LEG:FED CFB:****** ANO:1988\nART:00005", "nada"],
-        "STJ - <<AGINT NO ARESP 1779343>>-SC TEMA\nSTF - <<RE 0123>>\n<<ADI 5>>", ["REsp 00123 SP 2020", "ilegível"],
+        "d", ["LEG:FED LEI:013105 ANO:2015\n***** CPC-15\nART:00085 PAR:00002 ART:01015", "LEG:FED SUM:****** ANO:****\n***** SUM(STJ) SÚMULA\nSUM:000007", "LEG:FED LEI:009771 ANO:1999\nART:00002A", "LEG:FED CFB:****** ANO:1988\nART:00005", "nada"],
+        "STJ - <<AGINT NO ARESP 2345678>>-SC TEMA\nSTF - <<RE 0123>>\n<<ADI 5>>", ["REsp 00123 SP 2020", "ilegível"],
     )], "id string, laws array<string>, cited string, similar array<string>")
-    assert {r["chave"] for r in source_provisions(df, "id", "laws").collect()} >= {"CPC:85", "CPC:1015", "STJ:sumula:7", "LEI 8.560/1992:2-A", "CF:5"}
-    assert [r["chave"] for r in source_judgments(df, "id", "cited").orderBy("ord").collect()] == ["STJ:AGINT NO ARESP:1779343", "STF:RE:123", "STF:ADI:5"]
+    assert {r["chave"] for r in source_provisions(df, "id", "laws").collect()} >= {"CPC:85", "CPC:1015", "STJ:sumula:7", "LEI 9.771/1999:2-A", "CF:5"}
+    assert [r["chave"] for r in source_judgments(df, "id", "cited").orderBy("ord").collect()] == ["STJ:AGINT NO ARESP:2345678", "STF:RE:123", "STF:ADI:5"]
     assert [r["chave"] for r in source_similar(df, "id", "similar").orderBy("ord").collect()] == ["STJ:RESP:123", None]
 
 

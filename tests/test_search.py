@@ -50,8 +50,7 @@ def plain_rank(rows, tree):
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("index") / "i")
-    S.write_index(spark.createDataFrame(corpus(), "id string, t string, hits string"), "id", "t", path)
-    return path
+    return S.Index(spark, path).replace(spark.createDataFrame(corpus(), "id string, t string, hits string"), "id", "t")
 
 
 @pytest.mark.parametrize("query", QUERIES)
@@ -59,7 +58,7 @@ def test_scan_and_index_rank_alike(spark, index, query):
     tree = parse_advanced(query)
     want = plain_rank(corpus(), tree)
     df = spark.createDataFrame(corpus(), "id string, t string, hits string")
-    for found in (S.ranked(S.measure(df, "id", "t", tree), tree), S.ranked_index(spark, index, tree)):
+    for found in (S.ranked(S.measure(df, "id", "t", tree), tree), index.ranked(tree)):
         got = {r["id"]: r["score"] for r in found.collect()}
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
@@ -93,15 +92,14 @@ def test_nearest_of_each_query_over_several_blocks(spark, rows, monkeypatch):
 
 def test_index_with_changed_documents_is_that_of_the_new_texts(spark, rows, tmp_path):
     schema = "id string, t string, hits string"
-    old, new = str(tmp_path / "old"), str(tmp_path / "new")
-    S.write_index(spark.createDataFrame(corpus(), schema), "id", "t", old)
+    index = S.Index(spark, str(tmp_path / "i")).replace(spark.createDataFrame(corpus(), schema), "id", "t")
     changed, gone = [("d01", "mora nova", "x"), ("d02", None, "x"), ("e", "bens", "x"), ("z", "partilha", "x"), ("y", "", "x")], ["d05", "s", "never"]
-    S.replace_in_index(spark.createDataFrame(changed, schema), "id", "t", spark.createDataFrame([(g,) for g in gone], "id string"), old, new)
+    index = index.replace(spark.createDataFrame(changed[:2], schema), "id", "t").replace(spark.createDataFrame(changed, schema), "id", "t", spark.createDataFrame([(g,) for g in gone], "id string"))
     left = [r for r in corpus() if r[0] not in {*gone, *(c[0] for c in changed)}] + changed
-    S.write_index(spark.createDataFrame(left, schema), "id", "t", str(tmp_path / "want"))
-    for name in ("postings", "lengths", "size"):
-        have, want = (spark.read.parquet(f"{p}/{name}") for p in (new, str(tmp_path / "want")))
-        assert rows(have) == rows(want.select(have.columns))
+    want = S.Index(spark, str(tmp_path / "want")).replace(spark.createDataFrame(left, schema), "id", "t")
+    for have in (index, index.compact()):
+        assert rows(have.rows().select(*want.rows().columns)) == rows(want.rows()) and [have.manifest[k] == want.manifest[k] for k in ("documents", "tokens")] == [True, True]
+    assert len(S.Index(spark, str(tmp_path / "i")).manifest["segments"]) == 1 and S.Index(spark, str(tmp_path / "none")).rows().count() == 0
 
 
 def test_hash_cover_is_the_greedy_one(spark):
