@@ -131,13 +131,6 @@ _JUDGMENTS = f"""{_CLOSING}, it as (select id, k, trim(item, ' .' || chr(9) || c
  regexp_extract(texto, '\\b((?:{_SIGLAS})(?:\\s+n[oa]s?\\s+(?:{_SIGLAS}))*)\\s*(?:n[.º°]*)?\\s*(\\d{{1,3}}(?:\\.\\d{{3}})+|\\d{{1,9}})', ['c', 'n']) as m from it where texto <> ''),
  ju as (select id, (row_number() over (partition by id order by k) - 1)::int as ord, 'acordao' as tipo, case when nat <> '' then case when court <> '' then court || ':' || nat when nat[14:16] = '824' then 'TJSC:' || nat end
  when m.n <> '' and court in ('', 'STJ', 'STF') then coalesce(nullif(court, ''), 'STJ') || ':' || upper(regexp_replace(m.c, '\\s+', ' ', 'g')) || ':' || replace(m.n, '.', '')::bigint end as chave, texto from ks)"""
-# Lines as the tables here have them: after each statute one article; a line without a statute is one row.
-_STATUTE = "(?i:lei complementar|lei|decreto-lei|decreto)\\s+[\\d.]+/\\d{2,4}|\\b(?:NCPC|CPC|CC|CRFB|CF|ECA|CDC|CLT|CTN|CPP|CP|LINDB|RISTJ)\\b"
-_PROVISIONS = f"""{_CLOSING}, pl as (select id, trim(line, ' ' || chr(9) || chr(10) || chr(13)) as line, regexp_extract_all(line, '(?:{_STATUTE})[\\s,;:.]*(?i:artigos?|arts?)?[\\s,;:.]*\\d*(?:\\.\\d{{3}})*') as a from ln where name = 'dispositivos_citados'),
- pa as (select id, unnest(a) as t, generate_subscripts(a, 1) as k from pl where len(a) > 0),
- pb as (select id, k, regexp_extract(t, '^({_STATUTE})', 1) as st, regexp_extract(t, '(\\d[\\d.]*)$', 1) as art, regexp_matches(t, '^(?:{_STATUTE})[\\s,;:.]*(?i:artigos?|arts?)?[\\s,;:.]*\\d') as has from pa),
- pv as (select id, (k - 1)::int as ord, replace(upper(st), 'LEI COMPLEMENTAR', 'LC') || ':' || case when has then replace(art, '.', '')::int::varchar else '*' end as chave, st || case when has then ', art. ' || art else '' end as texto from pb
- union all select id, 0, null, line from pl where len(a) = 0 and line <> '')"""
 _NORM = """case when upper(trim(split_part(chave, ':', 1))) = 'STJ' then 'k|STJ:' || trim(upper(regexp_replace(regexp_replace(chave, '^[^:]*:', ''), ':?[^:]*$', ''))) || ':' || regexp_replace(regexp_extract(chave, '[^:]*$'), '[^0-9]', '', 'g')
  when upper(trim(split_part(chave, ':', 1))) = 'TJSC' then 'k|TJSC:' || regexp_replace(regexp_extract(chave, '[^:]*$'), '[^0-9]', '', 'g') end"""
 _RESOLVED = f"""t as (select case when tribunal = 'STJ' then 'k|STJ:' || trim(upper(classe)) || ':' || process else 'k|TJSC:' || process end as key, id from documents union all select 'p|' || id, id from precedents),
@@ -153,7 +146,6 @@ SQL = {
     "pending_numbers": """select number, count(distinct document_id) as cited_by from (select document_id, regexp_replace(chave, '[^0-9]', '', 'g') as number from document_citations where tipo = 'acordao' and chave like 'TJSC:%')
  where number <> '' and number not in (select process from documents where tribunal = 'TJSC' and process is not null) group by number""",
     "citations_judgments": f"with {_JUDGMENTS} select id, ord, tipo, chave, texto from ju",
-    "citations_provisions": f"with {_PROVISIONS} select id, ord, chave, texto from pv",
     "section_spans": f'with {_SPANS} select id, name, start, "end", digest from s',
     "section_counts": f'with {_SPANS} select name, count(*) as n, sum("end" - start) as characters from s group by name',
     "citations_first": "select document_id, tipo, case when chave <> '' then chave else texto end as cited, min(ord) as ord from document_citations group by 1, 2, 3",
