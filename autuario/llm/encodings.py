@@ -406,13 +406,16 @@ def fit(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame] | None:
     The driver gets the sample's words and one row for each chain and character.
     """
     context = rows.sparkSession.sparkContext
-    share = int(min(1.0, TRAIN_DOCUMENTS / max(1, rows.count())) * 1_000_000)
-    drawn = rows.select("text", (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).alias("drawn"))
+    n = rows.count()
+    bound = min((1 << 63) - 1, (TRAIN_DOCUMENTS << 64) // max(1, n) - (1 << 63))  # of 64-bit hashes, so that any number of rows is drawn from alike
+    drawn = rows.select("text", (F.xxhash64("id") <= F.lit(bound)).alias("drawn"))
     counted = drawn.mapInArrow(_count_words, "word string, n long, drawn long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("drawn").alias("drawn"))
     words = cut(counted.withColumn("key", F.btrim("word", F.lit(_ENDS))), "encodings-words")
     sample = {r["word"]: r["drawn"] for r in words.where("drawn > 0 and octet_length(word) <= 60").select("word", "drawn").collect()}
     if not sample and words.isEmpty():
         return None
+    if not sample and n > TRAIN_DOCUMENTS:
+        raise RuntimeError("no document drawn for the classifier has a word beyond ASCII; raise TRAIN_DOCUMENTS")
 
     first = context.broadcast(Model(_weights(sample), frozenset(range(len(CHAINS))), {}, frozenset(), {}))
     seen = words.groupBy("key").agg(F.sum("n").alias("n"), F.lit(False).alias("ordinary"))

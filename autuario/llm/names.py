@@ -54,6 +54,10 @@ NICKNAMES = {
 INITIAL, ABBREVIATED, FAMILIAR, DROPPED, MISTYPED, SOUNDALIKE, TO_ANOTHER_NAME = -1.5, -2.5, -2.5, -2.0, -3.5, -3.0, -7.0
 #: Least log-likelihood for a spelling to be attached at all.
 LEAST = -9.5
+#: Likelihood of a familiar form that a rule makes (a diminutive, a name's beginning or end), not the list.
+FAMILIAR_BY_RULE = -4.0
+#: A block of more forms is paired in parts by many tasks.
+BLOCK = 2000
 #: A token met beside so many last names is a name in its own right.
 COMMON = 4
 
@@ -170,6 +174,20 @@ def _familiar(a: str, b: str) -> bool:
     return NICKNAMES.get(a) == b or NICKNAMES.get(b) == a or (NICKNAMES.get(a) is not None and NICKNAMES.get(a) == NICKNAMES.get(b))
 
 
+_DIMINUTIVE = re.compile(r"(.+?)(?:ZINH|INH|IT|ZIT)([OA])$")
+
+
+def _made_familiar(said: str, true: str) -> bool:
+    """Whether a familiar form is made from a given name: a diminutive of it, its beginning or its end."""
+    if len(said) >= 4 and len(true) - len(said) >= 2 and (true.startswith(said) or true.endswith(said)):
+        return True
+    small = _DIMINUTIVE.fullmatch(said)
+    if not small or len(small[1]) < 3:
+        return False
+    stem = true[:-1] if true[-1] in "AEO" else true
+    return small[1] in (true, stem)
+
+
 def part_cost(said: str, true: str, common: bool, given: bool) -> float | None:
     """Log-likelihood of one part being written so, None if it can't be."""
     if said == true:
@@ -182,6 +200,8 @@ def part_cost(said: str, true: str, common: bool, given: bool) -> float | None:
         return None
     if given and _familiar(said, true):
         return FAMILIAR
+    if given and not common and _made_familiar(said, true):
+        return FAMILIAR_BY_RULE
     if len(said) <= 3 and len(true) > len(said) + 1 and said[-1] == true[-1] and _abbreviates(said, true):
         return ABBREVIATED
     if len(said) >= 3 and len(true) >= 3:
@@ -219,6 +239,7 @@ def block_keys(parts: tuple[str, ...]) -> list[str]:
     letters = {given[0], *given[1:2]} | {n[0] for n, g in NICKNAMES.items() if g == given}
     if given in NICKNAMES:
         letters |= {NICKNAMES[given][0]} | {n[0] for n, g in NICKNAMES.items() if g == NICKNAMES[given]}
+    letters |= {c for c in (given[-5:-4], given[-4:-3]) if c}  # a name's end may stand for it
     ends = {last, "~" + sound(last)} | {last[:i] + last[i + 1 :] for i in range(len(last))}
     return [f"{e} {c}" for e in sorted(ends) for c in sorted(letters)]
 
@@ -249,6 +270,21 @@ def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column("form"), b.column("true"), pa.array(score, pa.float64())], names=["form", "true", "score"]).filter(pa.array([x is not None for x in score]))
 
 
+def _meetings(keyed: DataFrame) -> DataFrame:
+    """``form, true``: forms that share a key and suffix, the second of higher rank.
+
+    A large block is dealt by hash of the form into parts of about ``BLOCK``; each
+    pair of parts is joined by itself, so no task holds a whole block.
+    """
+    block = ["key", "suffix"]
+    large = keyed.groupBy(*block).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(*block, F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    dealt = keyed.join(large, block, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    a = dealt.select(*block, F.col("own").alias("i"), others, F.col("form").alias("form"), F.col("rank").alias("ra")).withColumnRenamed("other", "j")
+    b = dealt.select(*block, F.col("own").alias("j"), others, F.col("form").alias("true"), F.col("rank").alias("rb")).withColumnRenamed("other", "i")
+    return a.join(b, [*block, "i", "j"]).where(F.col("ra") < F.col("rb")).select("form", "true").distinct()
+
+
 def attribute(df: DataFrame, name_col: str, max_rounds: int | None = None) -> DataFrame:
     """``spelling, person``: each distinct non-empty spelling with its person's true form.
 
@@ -273,8 +309,7 @@ def attribute(df: DataFrame, name_col: str, max_rounds: int | None = None) -> Da
         "names-forms",
     )
     keyed = forms.select("form", "suffix", "parts", "rank").mapInArrow(_key_batches, "key string, form string, suffix string, rank struct<full:int,n:long,form:string>")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.suffix") == F.col("b.suffix")) & (F.col("a.rank") < F.col("b.rank"))).select(F.col("a.form").alias("form"), F.col("b.form").alias("true")).distinct()
+    met = _meetings(cut(keyed, "names-keyed"))
     said = forms.select("form", F.col("parts").alias("said"), "common")
     true = forms.select(F.col("form").alias("true"), F.col("parts").alias("true_parts"), "n")
     scored = met.join(said, "form").join(true, "true").select("form", "true", "said", "true_parts", "common", "n").mapInArrow(_score_batches, "form string, true string, score double")

@@ -45,6 +45,20 @@ def test_spellings_of_one_person_are_linked(spark, rows):
     assert rows(N.same_person(df, "relator")) == want
 
 
+def test_large_blocks_are_paired_in_parts(spark, rows, monkeypatch):
+    df = spark.createDataFrame([(s,) for own in PEOPLE.values() for s in own], "relator string")
+    want = rows(N.same_person(df, "relator"))
+    monkeypatch.setattr(N, "BLOCK", 2)
+    assert rows(N.same_person(df, "relator")) == want
+
+
+@pytest.mark.parametrize("said, true, made", [
+    ("HEITORZINHO", "HEITOR", True), ("CLARINHA", "CLARA", True), ("NANDO", "FERNANDO", True), ("GABRI", "GABRIELA", True), ("ANITA", "ANA", False), ("MARIA", "MARTA", False), ("ZINHO", "JOAO", False), ("LIA", "JULIA", False),
+])
+def test_familiar_forms_by_rule(said, true, made):
+    assert N._made_familiar(said, true) is made
+
+
 def test_roots_are_found_or_an_error(spark):
     df = spark.createDataFrame([(s,) for s in PEOPLE[1]], "relator string")
     with pytest.raises(RuntimeError, match="still move"):
