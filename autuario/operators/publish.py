@@ -37,6 +37,19 @@ def table_digest(df: DataFrame) -> dict:
     return {"rows": row["rows"], "digest": row["digest"] or 0}
 
 
+def prune(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables as readers need them: contents of the documents held, admitted precedents and their contents; others as they are."""
+    out = dict(tables)
+    if {"documents", "versions"} <= tables.keys():
+        held = tables["documents"].select(F.col("id").alias("document_id"), "hash")
+        out["versions"] = tables["versions"].join(held, ["document_id", "hash"], "left_semi")
+    if "precedents" in tables:
+        out["precedents"] = tables["precedents"].where("admission = 'admitido'")
+        if "precedent_versions" in tables:
+            out["precedent_versions"] = tables["precedent_versions"].join(out["precedents"].select("id", "hash"), ["id", "hash"], "left_semi")
+    return out
+
+
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], schema: int = 1) -> str:
     """Write the tables as a new generation, verify it, then point the manifest at it.
 

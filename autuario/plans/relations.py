@@ -37,8 +37,8 @@ def filter_withdrawn(spark, d):
     """Admitted precedents without those withdrawn (a list of id and hash); null-safe, unlike NOT IN."""
     gone = spark.createDataFrame([("STJ:sumula:7", None), ("STJ:iac:500", "x"), (None, None)], "id string, hash string")
     held = table(spark, d, "precedents").where("admission = 'admitido'")
-    left = held.join(F.broadcast(gone.where("hash is null").select("id")), "id", "left_anti")
-    return left.join(F.broadcast(gone.where("hash is not null")), ["id", "hash"], "left_anti").select("id", "species", "numero")
+    left = held.join(gone.where("hash is null").select("id"), "id", "left_anti")
+    return left.join(gone.where("hash is not null"), ["id", "hash"], "left_anti").select("id", "species", "numero")
 
 
 def filter_precedents(spark, d):
