@@ -90,3 +90,43 @@ def cut_at_word(col: Column, size: int) -> Column:
 def same_but_blanks(a: Column, b: Column) -> Column:
     """Whether two texts differ at most in white space."""
     return F.regexp_replace(a, r"\s+", "").eqNullSafe(F.regexp_replace(b, r"\s+", ""))
+
+
+def branches(col: Column) -> Column:
+    """The branches that a cell names, parted by semicolons or line breaks: trimmed, blanks left out, each once, in order."""
+    return F.array_distinct(F.filter(F.transform(F.split(col, r"[;\r\n]+"), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def enveloped(col: Column) -> Column:
+    """A text as Base64 of its UTF-8, without line breaks."""
+    return F.regexp_replace(F.base64(F.encode(col, "UTF-8")), r"\s", "")
+
+
+def opened(col: Column) -> Column:
+    """The text in a Base64 envelope, null if it isn't one."""
+    return F.decode(F.try_to_binary(col, F.lit("base64")), "UTF-8")
+
+
+def number_text(value: object) -> str | None:
+    """A number given as text or as a number, as text; a true or false, a fraction and nothing are refused (None)."""
+    if isinstance(value, bool) or value is None:
+        return None
+    if isinstance(value, float):
+        return str(int(value)) if value.is_integer() else None
+    return str(value).strip() or None if isinstance(value, (int, str)) else None
+
+
+#: Endings of Portuguese words that a light stemmer takes off, longest first, with the least letters left before them.
+ENDINGS = (("amento", 3), ("imento", 3), ("mente", 4), ("idade", 4), ("acao", 3), ("icao", 3), ("acoes", 3), ("icoes", 3), ("oes", 3), ("ista", 4), ("avel", 3), ("ivel", 3), ("ais", 3), ("eis", 3), ("ado", 3), ("ada", 3), ("ido", 3), ("ida", 3), ("ar", 3), ("er", 3), ("ir", 3), ("os", 3), ("as", 3), ("es", 3), ("o", 3), ("a", 3), ("e", 3), ("s", 3))
+
+
+def stems(words: Column) -> Column:
+    """An array of index tokens by a light stemmer: the longest ending that leaves enough of a word is taken off."""
+
+    def stem(w: Column) -> Column:
+        out = F.when(F.lit(False), w)
+        for ending, least in sorted(ENDINGS, key=lambda e: -len(e[0])):
+            out = out.when(w.endswith(ending) & (F.length(w) >= len(ending) + least), F.substring(w, F.lit(1), F.length(w) - len(ending)))
+        return out.otherwise(w)
+
+    return F.transform(words, stem)

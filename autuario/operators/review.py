@@ -50,7 +50,7 @@ def judging_lot(found: DataFrame, judged: DataFrame, keys: list[str], seed: str)
 
 
 #: Mentions of a judgment or precedent, and of its court.
-_MENTION = r"(?iu)\b(?:agint|agrg|edcl|earesp|eresp|aresp|resp|rms|rhc|hc|tema|s[úu]mula(?:\s+vinculante)?|irdr|iac)\b(?:\s+n[oa]s?\s+\p{L}+)*\s*(?:n[.º°]*)?\s*[0-9][0-9./-]*(?:/[A-Z]{2})?|\b[0-9]{7}-[0-9]{2}\.[0-9]{4}\.[0-9]\.[0-9]{2}\.[0-9]{4}\b"
+_MENTION = r"(?iu)\b(?:agint|agrg|edcl|earesp|eresp|aresp|resp|rms|rhc|hc|tema|s[úu]mula(?:\s+vinculante)?|irdr|iac)\b(?:\s+n[oa]s?\s+\p{L}+)*\s*(?:n[.º°]*)?\s*[0-9][0-9.-]*(?:/[A-Z]{2}\b|/[0-9]+)?|\b[0-9]{7}-[0-9]{2}\.[0-9]{4}\.[0-9]\.[0-9]{2}\.[0-9]{4}\b"
 
 
 def without_citations(df: DataFrame, id_col: str, text_col: str, words: int = 30) -> DataFrame:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autuario.functions.text import tokens
+from autuario.functions.text import stems, tokens
 from autuario.plans.language import Leaf, Node, leaves
 from autuario.runtime import checkpoint_root, cut, is_kept, kept, partitions_for, read_small, spread, write_small
 
@@ -52,8 +52,12 @@ def measure(df: DataFrame, id_col: str, text_col: str, tree: Leaf | Node) -> Dat
 
     Null texts have no row; a document delivered twice has one.
     """
+    return measure_tokens(_words(df, id_col, text_col), tree)
+
+
+def measure_tokens(words: DataFrame, tree: Leaf | Node) -> DataFrame:
+    """As ``measure``, of ``id, w`` with each text's tokens."""
     found = leaves(tree)
-    words = _words(df, id_col, text_col)
     single = lambda x: len(x.tokens) == 1 and not x.prefix
     terms = [x.tokens[0] for x in found if single(x)]
     words = words.select("id", "w", F.filter("w", lambda x: x.isin(terms)).alias("own")) if terms else words  # the text is gone through once for all single terms
@@ -61,6 +65,20 @@ def measure(df: DataFrame, id_col: str, text_col: str, tree: Leaf | Node) -> Dat
     return words.select("id", F.size("w").alias("length"), counted.alias("hits")).dropDuplicates(["id"])
 
 
+def stemmed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, w``: the stems of each text's tokens."""
+    return _words(df, id_col, text_col).select("id", stems(F.col("w")).alias("w"))
+
+
+def stem_tree(spark: SparkSession, tree: Leaf | Node) -> Leaf | Node:
+    """The tree with stems in place of its tokens; prefixes stay."""
+    tokens_of = list(dict.fromkeys(t for x in leaves(tree) for t in x.tokens))
+    row = spark.createDataFrame([(tokens_of,)], "w array<string>").select(stems(F.col("w")).alias("w")).first()
+    known = dict(zip(tokens_of, row["w"]))
+    turn = lambda x: Node(x.kind, tuple(map(turn, x.parts))) if isinstance(x, Node) else x if x.prefix else Leaf(x.text, tuple(known[t] for t in x.tokens))
+    return turn(tree)
+
+
 def matches(tree: Leaf | Node, order: list[Leaf]) -> Column:
     """Whether a document's ``hits`` satisfy the tree."""
     if isinstance(tree, Leaf):

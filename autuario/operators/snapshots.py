@@ -188,8 +188,9 @@ def snapshot_changes(entries: DataFrame, steps: DataFrame, max_rounds: int = 24)
         "snapshot", "key", "hash",
         F.xxhash64("key", F.lit(11)).alias("kh"),
     ).withColumn("bucket", F.pmod("kh", F.lit(buckets)).cast("int"))
+    value = F.xxhash64(F.col("hash").isNull(), "hash", "key", F.lit(12))
     single = (
-        hashed.select("bucket", "snapshot", "kh", F.xxhash64(F.col("hash").isNull(), "hash", "key", F.lit(12)).alias("vh"))
+        hashed.select("bucket", "snapshot", "kh", value.alias("vh"))
         .repartition("bucket")
         .groupBy("bucket", "snapshot", "kh").agg(F.min("vh").alias("vh"))
     )
@@ -222,22 +223,21 @@ def snapshot_changes(entries: DataFrame, steps: DataFrame, max_rounds: int = 24)
     recovered = found[0]
     for more in found[1:]:
         recovered = recovered.unionByName(more)
-    by_key = recovered.groupBy("pair", "kh").agg(F.max("sign").alias("hi"), F.min("sign").alias("lo"))
+    by_key = recovered.groupBy("pair", "kh").agg(F.max("sign").alias("hi"), F.min("sign").alias("lo"), F.max_by("vh", "sign").alias("vh"))
     kinds = F.when((F.col("hi") == 1) & (F.col("lo") == -1), "changed").when(F.col("hi") == 1, "added").otherwise("removed")
     named = by_key.withColumn("change", kinds).join(_hinted(pairs.select("pair", "prev", "next")), "pair")
     lookup = named.withColumn("snapshot", F.when(F.col("change") == "removed", F.col("prev")).otherwise(F.col("next")))
-    keys = hashed.select("snapshot", "kh", "key")
-    result = lookup.join(keys, ["snapshot", "kh"]).select("pair", "next", "key", "change").distinct()
-    return _verified(cut(result, "snapshot-changes"), by_key)
+    keys = hashed.select("snapshot", "kh", "key", value.alias("said"))
+    result = lookup.join(keys, ["snapshot", "kh"]).groupBy("pair", "kh", "next", "key", "change").agg(F.min("said").alias("vh"))
+    return _verified(cut(result, "snapshot-changes"), by_key).select("pair", "next", "key", "change")
 
 
 def _verified(result: DataFrame, by_key: DataFrame) -> DataFrame:
-    """Stop if the digests of the keys found differ from those recovered."""
-    digest = [F.count("*"), F.bit_xor(F.xxhash64("pair", "kh"))]
-    have = result.withColumn("kh", F.xxhash64("key", F.lit(11))).agg(*digest).first()
-    want = by_key.agg(*digest).first()
+    """Stop if the digests of the keys and values found among the records differ from those recovered."""
+    digest = [F.count("*"), F.bit_xor(F.xxhash64("pair", "kh", "vh"))]
+    have, want = result.agg(*digest).first(), by_key.agg(*digest).first()
     if tuple(have) != tuple(want):
-        raise RuntimeError(f"recovered keys and records differ: {tuple(want)} and {tuple(have)}")
+        raise RuntimeError(f"recovered entries and records differ: {tuple(want)} and {tuple(have)}")
     return result
 
 

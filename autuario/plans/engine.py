@@ -81,6 +81,11 @@ class Engine:
     def _table(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
 
+    def holds(self, name: str) -> bool:
+        """Whether the folder has a table."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root.rstrip('/')}/{name}.parquet")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def _filtered(self, tribunal=None, organ=None, classe=None, process=None, relator=None, judged=(None, None), published=(None, None), cites=None, cites_judgment=None, cites_provision=None, cited_by=None, citing=None) -> DataFrame:
         """Documents under the filters; comparisons on stored columns reach the scan. Citations may be typed as in texts."""
         docs = self._table("documents").select("id", "tribunal", "organ", "classe", "process", "registration", "judgment", "publication")

@@ -192,11 +192,6 @@ def _blocks(texts):
 
 
 def text_blocks(spark, d):
-    """The first document's text in blocks of 1,500 characters; joined they are the text."""
-    return _blocks(table(spark, d, "documents").where("text is not null").orderBy("doc_id").limit(1).select("doc_id", "text"))
-
-
-def text_blocks_all(spark, d):
     """Every text in blocks of 1,500 characters."""
     return _blocks(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
 
@@ -345,7 +340,7 @@ QUERIES = {f.__name__: f for f in (
     headers, period_parts, export_changes, catalog_upsert,
     filter_exact, filter_number, filter_dates, filter_withdrawn, filter_precedents, json_fields, current_versions, export_rows, winner_per_document, merge_upsert,
     duplicate_versions, coverage_groups, coverage_intersects, admission_counts, resource_summary, latest_resource, collection_delay, panel_groups, joined_classes,
-    merged_numbers, held_by_key, before_after, fingerprint, hash_sample, page_by_date, history_page, pending_first, text_blocks, text_blocks_all, byte_budget, backup_retention,
+    merged_numbers, held_by_key, before_after, fingerprint, hash_sample, page_by_date, history_page, pending_first, text_blocks, byte_budget, backup_retention,
     retired_ids, affected_ids, unreferenced_contents, required_fields, shared_precedents, union_passes, numbers_checked, class_families, law_numbers, text_keys,
     references_in_words, local_dates, expected_grid, retrieval_metrics,
 )}
@@ -400,8 +395,7 @@ SQL = {
     "history_page": """with v as (select document_id, hash, min(first_seen) as t from versions where first_seen is not null group by all)
  select document_id, hash, t::varchar as first_seen from v where document_id = (select document_id from v group by 1 order by count(*) desc, 1 limit 1) order by t desc, hash limit 20""",
     "pending_first": "select id, status, checked::varchar as checked from resources order by (status <> 'ok') desc, checked asc nulls first, id limit 30",
-    "text_blocks": "select doc_id, block::int as block, substr(text, block * 1500 + 1, 1500) as part from (select doc_id, text, unnest(range(0, greatest(ceil(length(text) / 1500), 1)::int)) as block from (select doc_id, text from documents where text is not null order by doc_id limit 1))",
-    "text_blocks_all": "select doc_id, block::int as block, substr(text, block * 1500 + 1, 1500) as part from (select doc_id, text, unnest(range(0, greatest(ceil(length(text) / 1500), 1)::int)) as block from documents where text is not null)",
+    "text_blocks": "select doc_id, block::int as block, substr(text, block * 1500 + 1, 1500) as part from (select doc_id, text, unnest(range(0, greatest(ceil(length(text) / 1500), 1)::int)) as block from documents where text is not null)",
     "byte_budget": "select organ, id, k, bytes from (select *, sum(octet_length((organ || id)::blob)) over (partition by organ order by k) as bytes from (select organ, id, row_number() over (partition by organ order by publication desc nulls last, id) as k from documents) where k <= 8) where bytes <= 120",
     "backup_retention": "select id, dataset, (row_number() over (partition by dataset order by checked desc, id desc) <= 3 or row_number() over (partition by dataset, date_trunc('month', checked) order by checked desc, id desc) = 1) as keep from resources where checked is not null",
     "retired_ids": "select distinct document_id from versions v where not exists (select 1 from documents d where d.id = v.document_id)",

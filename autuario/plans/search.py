@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from autuario.functions.text import folded
 from autuario.operators import search as S
-from autuario.plans.language import Leaf, Node, broadened, leaves, parse_advanced, parse_simple
+from autuario.operators.sections import header
+from autuario.plans.language import Leaf, Node, broadened, cut_prefixes, leaves, parse_advanced, parse_simple
 from autuario.runtime import checkpoint_root, cut, kept
 from autuario.sources.tables import table
 
@@ -121,6 +122,28 @@ def search_index_updated(spark, d):
     return found.orderBy(F.round("score", 6).desc(), F.col("publication").desc_nulls_last(), "id").limit(8).select("id", F.round("score", 6).alias("score"), "publication")
 
 
+def search_prefix_cut(spark, d):
+    """Matches of all words, each by its first five letters."""
+    tree = cut_prefixes(parse_simple("prorrogação decadencial", ranked=False), 5)
+    return _measured(spark, d, tree).where(S.matches(tree, leaves(tree))).select("id", F.element_at("hits", 1).alias("first"), F.element_at("hits", 2).alias("second"))
+
+
+def search_stems(spark, d):
+    """The eight best by stems of the words."""
+    words = S.stemmed(_ementas(spark, d), "id", "ementa")
+    tree = parse_simple("prorrogações decadencial", ranked=True)
+    found = S.ranked(S.measure_tokens(words, S.stem_tree(spark, tree)), S.stem_tree(spark, tree))
+    return found.orderBy(F.round("score", 6).desc(), "id").limit(8).select("id", F.round("score", 6).alias("score"))
+
+
+def search_header_weight(spark, d):
+    """The eight best where a hit in the header counts three times more."""
+    tree = parse_simple("prazo decadencial")
+    rows = _ementas(spark, d).where("ementa is not null").dropDuplicates(["id"]).select("id", header(F.col("ementa"), 400).alias("header"), "ementa")
+    measured = S.in_fields(S.measure_fields(rows, "id", ["header", "ementa"], tree), [3.0, 1.0])
+    return S.ranked(measured, tree).orderBy(F.round("score", 6).desc(), "id").limit(8).select("id", F.round("score", 6).alias("score"))
+
+
 def search_snippets(spark, d):
     """For the page of a ranked query, the window of 16 tokens with most terms."""
     tree = parse_simple(RANKED)
@@ -234,7 +257,7 @@ def fused_ranks(spark, d):
 QUERIES = {f.__name__: f for f in (
     dense_nearest, dense_nearest_each, fused_ranks,
     search_rank_or, search_rank_phrase, search_rank_prefix, search_boolean_nested, search_date_order, search_broadened, search_term_counts, search_total,
-    search_empty_reason, search_index_rank, search_index_updated, search_snippets, vocab_df, similar_terms, similar_docs, precedent_search, precedent_search_field, index_integrity, filter_contains_folded,
+    search_empty_reason, search_index_rank, search_index_updated, search_prefix_cut, search_stems, search_header_weight, search_snippets, vocab_df, similar_terms, similar_docs, precedent_search, precedent_search_field, index_integrity, filter_contains_folded,
 )}
 
 _TOKENS = "list_filter(string_split_regex(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -303,7 +326,10 @@ _SNIPPETS = f"""with k as (select id from {_sql_page(_OR, 8)}), {_W}, t as (sele
  b as (select *, row_number() over (partition by id order by n desc, i) as r from s)
  select id, (i - 1)::int as first_token, n::int as distinct_terms, array_to_string(w[i:i + 15], ' ') as snippet from b where r = 1"""
 
+_CUT = cut_prefixes(parse_simple("prorrogação decadencial", ranked=False), 5)
+
 SQL = {
+    "search_prefix_cut": f"{_sql_measured(_CUT)} select id, h0::int as first, h1::int as second from m where {_sql_match(_CUT, leaves(_CUT))}",
     "search_index_updated": _UPDATED,
     "search_snippets": _SNIPPETS,
     "precedent_search": _sql_precedents(parse_simple(PRECEDENT_QUERY)),

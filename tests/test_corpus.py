@@ -9,7 +9,7 @@ from autuario.operators.ingest import Corpus
 from autuario.operators.publish import KEEP, manifest, open_generation, publish, verify
 from autuario.sources.files import merged, read_csv, read_numbers, read_originals
 from autuario.sources.pages import cards, parse_page, stable
-from autuario.sources.records import array_items, parsed, read_batches, wanted
+from autuario.sources.records import array_items, parsed, read_batches, stream_items, wanted
 from autuario.streaming import streams
 
 
@@ -160,3 +160,92 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path, rows):
     observed = str(tmp_path / "observed")
     spark.createDataFrame([], "document_id string, resource_id string, hash string, rank_key string").write.parquet(observed)
     assert rows(streams.latest_stream(spark, streams.table_stream(spark, observed))) == []
+
+
+ITEMS = ['{"a": "x]}\\\\\\"{,", "b": [1, {"c": 2}]}', "2", '"t,]"', "null", "[]"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_arrays_are_read_in_pieces(size):
+    text = " [ " + " ,\n".join(ITEMS) + " ] \n"
+    assert list(stream_items(text[k : k + size] for k in range(0, len(text), size))) == ITEMS
+    for bad in ("", "[1", "[1] 2", "{}", "x", '["a', "[1]]"):
+        with pytest.raises(ValueError):
+            list(stream_items(bad[k : k + size] for k in range(0, len(bad), size)))
+
+
+def test_files_without_the_numbers_are_skipped(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([record("1", numeroProcesso="77123"), record("2", numeroProcesso="5")]))
+    (tmp_path / "b.json").write_text("[{ not read, as it has no such number")
+    got = read_batches(spark, str(tmp_path), ["77123"]).collect()
+    assert [(r["position"], r["problem"]) for r in got] == [(0, None)]
+
+
+def test_keeping(spark, tmp_path, rows):
+    import hashlib
+
+    from autuario.operators import keeping as K
+
+    store = str(tmp_path / "store")
+    path = K.save_original(spark, store, b"conte\xfado")
+    assert K.save_original(spark, store, b"conte\xfado") == path and path.endswith(hashlib.sha256(b"conte\xfado").hexdigest())
+    log = K.RunLog(spark, str(tmp_path / "runs"))
+    log.start("stj", "2024-01-01")
+
+    def work(r):
+        if r == "b":
+            raise OSError("gone")
+        if r == "stop":
+            raise KeyError(r)
+
+    assert log.each("stj", ["a", "b", "c"], work)["state"] == "partial" and log.each("x", ["a", "stop", "c"], work, (KeyError,))["state"] == "error" and log.each("y", ["a"], work)["state"] == "ok"
+    assert sorted(r["state"] for r in log.runs().collect()) == ["error", "interrupted", "ok", "partial"]
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int")
+    root, depot = str(tmp_path / "gen"), str(tmp_path / "depot")
+    one = publish(spark, root, {"t": df, "u": df.limit(1)})
+    K.backup(spark, root, depot, "first")
+    two = publish(spark, root, {"t": df, "u": df.limit(0)})
+    K.backup(spark, root, depot, "second")
+    assert len(list((tmp_path / "depot" / "tables").glob("[!.]*"))) == 3  # table t is there once
+    assert K.restore(spark, depot, "first", str(tmp_path / "back")) == one and rows(open_generation(spark, str(tmp_path / "back"))["u"]) == [("a", 1)]
+    assert K.install(spark, root, str(tmp_path / "reader")) == two == K.install(spark, root, str(tmp_path / "reader"))
+    gone = K.prune_depot(spark, depot, ["second"])
+    assert len(gone) == 2 and rows(open_generation(spark, str(tmp_path / "reader"))["t"]) == [("a", 1), ("b", 2)]
+    with pytest.raises(EngineError):
+        K.restore(spark, depot, "first", root)
+    body = '{"x": 1}'
+    good = {"id": "P:1", "tribunal": "STJ", "species": "tema", "numero": "1", "organ": None, "publication": "2020-01-02", "hash": hashlib.sha256(body.encode()).hexdigest(), "body": body}
+    lines = [good, good | {"id": "P:2", "hash": "x"}, good | {"id": "P:3", "numero": " "}, good | {"id": "P:4", "publication": "ontem"}, good | {"id": "P:5"}, good | {"id": "P:5"}]
+    (tmp_path / "package.json").write_text("\n".join(map(json.dumps, lines)) + "\n{")
+    records, problems = K.read_package(spark, str(tmp_path / "package.json"))
+    assert [r["id"] for r in records.collect()] == ["P:1"] and sorted(r["reason"] for r in problems.collect()) == ["hash_differs", "illegible", "illegible_date", "no_numero", "repeated_id", "repeated_id"]
+
+
+def test_review(spark, rows):
+    from autuario.operators import review as R
+
+    ids = spark.createDataFrame([(f"d{k}",) for k in range(300)] + [(None,), ("d1",)], "id string")
+    first = R.review_sample(ids, "id", "s")
+    assert first.count() == 15 and R.review_sample(ids.limit(40), "id", "s").count() == 10 and R.review_sample(ids.limit(0), "id", "s").count() == 0
+    assert R.review_sample(ids, "id", "s", first).join(first, "id").count() == 0
+    said = first.select("id", (first.id != first.first()["id"]).alias("approved"))
+    verdict = lambda r, least: tuple(R.review_verdict(first, r, least).first())
+    assert verdict(said, 1.0) == (15, 15, 14, False) and verdict(said, 0.9) == (15, 15, 14, True) and verdict(said.limit(3), 0.1)[3] is False
+    a = spark.createDataFrame([("1", "a b", 1), ("2", "x", 1), ("3", "x", 1)], "id string, t string, n int")
+    b = spark.createDataFrame([("1", "ab ", 1), ("2", "y", 1), ("4", "x", 1)], "id string, t string, n int")
+    assert rows(R.reread(a, b, "id", ["t", "n"])) == [("1", "blanks"), ("2", "differs"), ("3", "missing"), ("4", "new")] and rows(R.reread(a, a, "id", ["t"])) == [("1", "same"), ("2", "same"), ("3", "same")]
+    assert R.unequal(a, a).count() == 0 and sorted(r["side"] for r in R.unequal(a, a.limit(2)).collect()) == ["left"]
+    text = spark.createDataFrame([("a", "CIVIL. AgInt no AREsp 2.345.678/SC. Tema 77. Posse mansa."), ("b", "Súmula 83"), ("c", None)], "id string, t string")
+    assert rows(R.without_citations(text, "id", "t")) == [("a", "CIVIL. Posse mansa.")]
+
+
+def test_settings(tmp_path):
+    from autuario.config import load
+
+    (tmp_path / "c.toml").write_text('root = "/a"\npage = 5\n')
+    file = str(tmp_path / "c.toml")
+    assert load({"page": 9}, {"AUTUARIO_ROOT": "/b"}, file).root == "/b" and load({"page": 9}, {"AUTUARIO_PAGE": "7"}, file).page == 9 and load({}, {}, file).page == 5 and load({}, {}).page == 8
+    for bad in ("page = 99", "pages = 1", 'page = "x"'):
+        (tmp_path / "c.toml").write_text(bad)
+        with pytest.raises(EngineError):
+            load({}, {}, file)

@@ -112,4 +112,7 @@ def test_commands(engine, spark, capsys):
     assert main([engine.root, "document", "a"]) == 0 and json.loads(capsys.readouterr().out)["judgment"] == "2010-01-01"
     assert main([engine.root, "coverage"]) == 0 and len(json.loads(capsys.readouterr().out)) == 2
     assert main([engine.root, "check", "REsp 100"]) == 0 and json.loads(capsys.readouterr().out)[0]["state"] == "held"
+    assert main([engine.root, "precedents", "prazo"]) == 0 and json.loads(capsys.readouterr().out)["items"][0]["id"] == "STJ:sumula:7"
+    assert main([engine.root, "index", f"{engine.root}/index"]) == 0 and json.loads(capsys.readouterr().out)["documents"] == 5 and engine.search("usucapião").total == 1
+    assert main([engine.root, "publish", f"{engine.root}-releases"]) == 0 and main([f"{engine.root}-reader", "install", f"{engine.root}-releases"]) == 0 and capsys.readouterr().out
     assert main([engine.root, "search", "x OU", "--advanced"]) == 1 and json.loads(capsys.readouterr().out)["error"] == "consulta_invalida"

@@ -43,7 +43,7 @@ def test_dates(spark):
 
 
 def test_numbers(spark):
-    good = "5011469-46.2023.8.24.0000"
+    good = "5004321-17.2021.8.24.0011"
     digits = "".join(c for c in good if c.isdigit())
     check = 98 - int(digits[:7] + digits[9:] + "00") % 97
     assert values(spark, [good, "123", None], L.cnj_check) == [f"{check:02}", None, None]
@@ -60,3 +60,12 @@ def test_reference(spark, missing):
     df = spark.createDataFrame([row], "a string, b string, c string, d string, e string, f date, g date")
     text = df.select(L.reference(*[F.col(c) for c in "abcdefg"])).first()[0]
     assert text.startswith("STJ, RESP n. 1, rel. [não informado]") and "j. 02/01/2020" in text and text.endswith("pub. [não informado]") and ("[não informado], j." in text) == missing
+
+
+def test_cells_envelopes_and_stems(spark):
+    assert values(spark, ["Direito Civil; ;Direito Civil\nPosse", "", None], T.branches) == [["Direito Civil", "Posse"], [], None]
+    texts = ["ação " * 40, "", None]
+    assert values(spark, texts, lambda c: T.opened(T.enveloped(c))) == texts and values(spark, ["a"], T.enveloped) == ["YQ=="] and values(spark, ["%"], T.opened) == [None]
+    assert [T.number_text(x) for x in (12, "12 ", 12.0, 1.5, True, None, "")] == ["12", "12", "12", None, None, None, None]
+    df = spark.createDataFrame([(["prorrogacao", "prorrogacoes", "casas", "casa", "lei", "decadencial"],)], "w array<string>")
+    assert df.select(T.stems(F.col("w"))).first()[0] == ["prorrog", "prorrog", "cas", "cas", "lei", "decadencial"]

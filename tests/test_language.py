@@ -3,7 +3,7 @@ import pytest
 from autuario.errors import EngineError
 from autuario.functions.text import fold_literal, token_literal
 from autuario.plans.engine import decode_cursor, encode_cursor
-from autuario.plans.language import Leaf, Node, broadened, leaves, parse_advanced, parse_simple
+from autuario.plans.language import Leaf, Node, broadened, cut_prefixes, leaves, parse_advanced, parse_simple, refusals
 
 
 def show(tree):
@@ -49,3 +49,8 @@ def test_cursor():
     for cursor, params in ((encode_cursor(p, 1), {"q": "b"}), ("%%%", p), ("e30", p)):
         with pytest.raises(EngineError):
             decode_cursor(cursor, params)
+
+
+def test_prefixes_and_refusals():
+    assert show(cut_prefixes(parse_advanced('prorrogação OU (mora "de fato" usuc*)'), 5)) == "(prorr* or (mora and de fato and usuc*))"
+    assert refusals(["a b", "x " * 40, '"a']) == {"accepted": 1, "consulta_invalida": 2} and refusals(["a OU"], advanced=True) == {"consulta_invalida": 1}
