@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autuario.runtime import cut, partitions, spread
+from autuario.runtime import cut, partitions_for, spread
 
 #: The labels of the two closing passages, as they stand in a key.
 PROVISIONS = "dispositivosrelevantescitados"
@@ -110,7 +110,7 @@ def copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = df.sparkSession
     texts = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
     keyed = cut(spread(texts, "id").mapInArrow(_digests, "id string, key binary"), "copies-keys")
-    blocks = keyed.repartitionByRange(partitions(spark), "key", "id").sortWithinPartitions("key", "id")
+    blocks = keyed.repartitionByRange(partitions_for(keyed), "key", "id").sortWithinPartitions("key", "id")
     scanned = cut(blocks.select("key", "id", F.spark_partition_id().alias("blk")).mapInArrow(_scan, _SCAN), "copies-scan")
     carried, key, kept = [], None, None
     for r in sorted(scanned.where("kind = 2").collect(), key=lambda r: r.blk):  # one row per block

@@ -239,7 +239,8 @@ def block_keys(parts: tuple[str, ...]) -> list[str]:
     letters = {given[0], *given[1:2]} | {n[0] for n, g in NICKNAMES.items() if g == given}
     if given in NICKNAMES:
         letters |= {NICKNAMES[given][0]} | {n[0] for n, g in NICKNAMES.items() if g == NICKNAMES[given]}
-    letters |= {c for c in (given[-5:-4], given[-4:-3]) if c}  # a name's end may stand for it
+    if len(given) >= 6:  # a longer name's end may stand for it
+        letters |= {given[-5], given[-4]}
     ends = {last, "~" + sound(last)} | {last[:i] + last[i + 1 :] for i in range(len(last))}
     return [f"{e} {c}" for e in sorted(ends) for c in sorted(letters)]
 
