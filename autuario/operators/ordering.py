@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autuario.runtime import cut, partitions
+from autuario.runtime import cut, partitions_for
 
 BLOCK, POSITION = "_blk", "_pos"
 
@@ -19,11 +19,11 @@ def ordered(df: DataFrame, keys: list[str], name: str = "ordered") -> DataFrame:
     """Add ``_blk`` (partition of the order) and ``_pos`` (0-based global position).
 
     Rows with equal keys get positions in an unspecified order among themselves.
-    Nulls sort first. An empty table stays empty. The number of blocks is
-    ``spark.sql.shuffle.partitions``; only one row count per block reaches the driver.
+    Nulls sort first. An empty table stays empty. The number of blocks follows
+    the bytes read, and is ``spark.sql.shuffle.partitions`` at least; only one row count per block reaches the driver.
     """
     spark = df.sparkSession
-    sort = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
+    sort = df.repartitionByRange(partitions_for(df), *keys).sortWithinPartitions(*keys)
     held = cut(
         sort.withColumn(BLOCK, F.spark_partition_id()).withColumn(
             "_off", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)

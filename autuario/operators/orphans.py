@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from autuario.operators.skew import semi_join_counted
-from autuario.runtime import checkpoint_root, kept, partitions, read_small, write_small
+from autuario.runtime import checkpoint_root, kept, partitions_for, read_small, write_small
 
 KEY = "ref_key"
 INDEX_SCHEMA = f"{KEY} string"
@@ -52,7 +52,7 @@ class OrphanLedger:
         if folder is None:
             folder = f"{checkpoint_root(spark).rstrip('/')}/orphans-{uuid.uuid4().hex}"
             kept(spark, folder)
-        new = OrphanLedger(spark, folder, refs_like.schema, buckets or partitions(spark))
+        new = OrphanLedger(spark, folder, refs_like.schema, buckets or partitions_for(refs_like))
         return new.at() or new
 
     def _manifest(self, version: int) -> str:

@@ -182,7 +182,7 @@ class Index:
         tag = uuid.uuid4().hex[:12]
         old = self.manifest["segments"]
         fresh = df if gone is None else df.join(gone.select(id_col).distinct(), id_col, "left_anti")
-        self._write(postings(fresh, id_col, text_col), f"segment-{tag}")
+        self._write(cut(postings(fresh, id_col, text_col), "index-postings"), f"segment-{tag}")  # range bounds are drawn from it without tokenizing twice
         added = {"path": f"segment-{tag}", "gone": []}
         n, t = self._size(self._segment(added))
         if old:
@@ -212,12 +212,23 @@ class Index:
         return n, self.manifest["tokens"] / n if n else 0.0, statistics(measured, n_leaves)[2]
 
     def ranked(self, tree: Leaf | Node, keep: DataFrame | None = None) -> DataFrame:
-        """As ``ranked``; only matches among the ids of ``keep`` are scored, if it is given."""
+        """As ``ranked``; only matches among the ids of ``keep`` are scored, if it is given.
+
+        The documents with each single word are counted among its postings; where a query has
+        phrases or prefixes, all is measured first and counted then.
+        """
         order = leaves(tree)
-        held = cut(self.measure(tree), "search-measured")
+        if all(len(x.tokens) == 1 and not x.prefix for x in order):
+            terms = [x.tokens[0] for x in order]
+            counts = {r["term"]: r["n"] for r in self.rows().where(F.col("term").isin(terms)).groupBy("term").agg(F.count("*").alias("n")).collect()}
+            n = self.manifest["documents"]
+            held, stats = self.measure(tree), (n, self.manifest["tokens"] / n if n else 0.0, [counts.get(t, 0) for t in terms])
+        else:
+            held = cut(self.measure(tree), "search-measured")
+            stats = self.statistics(held, len(order))
         found = held.where(matches(tree, order))
         found = found if keep is None else found.join(keep, "id")
-        return found.withColumn("score", bm25(self.statistics(held, len(order)))).drop("length")
+        return found.withColumn("score", bm25(stats)).drop("length")
 
 
 #: Ids up to this number are broadcast (some 30 bytes each).

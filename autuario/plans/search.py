@@ -216,8 +216,8 @@ def precedent_search_field(spark, d):
 
 
 def index_integrity(spark, d):
-    """Documents without an ementa to search, and ementas of no document."""
-    ids, held = table(spark, d, "documents").select("id"), _ementas(spark, d).where("ementa is not null").select("id").distinct()
+    """Documents that the written index lacks, and indexed ids of no document."""
+    ids, held = table(spark, d, "documents").select("id"), _index(spark, d).rows().where("term = ''").select("id")
     lost, extra = ids.join(held, "id", "left_anti"), held.join(ids, "id", "left_anti")
     return lost.select("id", F.lit("no_text").alias("problem")).unionByName(extra.select("id", F.lit("no_document").alias("problem")))
 

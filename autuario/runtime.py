@@ -57,10 +57,11 @@ def is_kept(path: str) -> bool:
 
 
 @atexit.register
-def drop_tables() -> None:
-    """Delete every table ``cut`` has written and that no result reads any more."""
-    while _TABLES:
-        spark, path = _TABLES.pop()
+def drop_tables(*but: str) -> None:
+    """Delete every table ``cut`` has written and that no result reads any more, but for the folders named."""
+    gone = [(s, p) for s, p in _TABLES if p not in but]
+    _TABLES[:] = [(s, p) for s, p in _TABLES if p in but]
+    for spark, path in gone:
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
