@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from autuario.functions.text import folded
 from autuario.operators import publish as P
 from autuario.operators import review as R
+from autuario.plans import relations
 from autuario.sources.tables import table
 
 # What a scan for confidential patterns looks for here.
@@ -113,7 +114,17 @@ _FIRST = f"(select id from (select id, row_number() over (order by sha256('lote-
 _PAIRS = "(select distinct document_id, resolvido as cited_id from document_citations where resolvido is not null and tipo = 'acordao' and (document_id, resolvido) not in (select (document_id, cited_id) from citation_links))"
 _FOLD = "regexp_replace(upper(strip_accents(nfc_normalize(ementa))), '[^\\p{L}\\p{N}]+', '', 'g')"
 
+_OPENING = relations.SQL["headers"].replace("120", "1000").replace("121", "1001")
+_BARE = (
+    "(?i)\\b(?:agint|agrg|edcl|earesp|eresp|aresp|resp|rms|rhc|hc|tema|s[úu]mula(?:\\s+vinculante)?|irdr|iac)\\b(?:\\s+n[oa]s?\\s+\\p{L}+)*\\s*(?:n[.º°]*)?\\s*[0-9][0-9.-]*(?:/[A-Z]{2}\\b|/[0-9]+)?"
+    "|\\b[0-9]{7}-[0-9]{2}\\.[0-9]{4}\\.[0-9]\\.[0-9]{2}\\.[0-9]{4}\\b"
+)
+_QUESTIONS = f"""(select id, q as query from (select id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(header, '{_BARE}', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))[1:30], ' ') as q from ({_OPENING})) where q <> '')"""
+
 SQL = {
+    "citation_removed": f"select id, query from {_QUESTIONS}",
+    "question_set": f"""with c as (select document_id as id, min(resolvido) as wanted from document_citations where resolvido is not null group by 1)
+ select id, query, wanted from {_QUESTIONS} join c using (id) order by sha256('conjunto:' || id) limit 100""",
     "review_sample": f"select id, sha256('lote-1:' || id) as draw from {_STJ} where id in {_FIRST}",
     "review_again": f"""with s as (select id, draw from (select id, sha256('lote-2:' || id) as draw, row_number() over (order by sha256('lote-2:' || id), id) as r from {_STJ} where id not in {_FIRST}), {_SIZE} where r <= k)
  select count(*) as sampled, count(*) as reviewed, count(*) filter (not starts_with(draw, '0')) as approved, count(*) filter (not starts_with(draw, '0')) >= count(*) * 0.9 as accepted from s""",

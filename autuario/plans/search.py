@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from autuario.functions.text import folded
 from autuario.operators import search as S
 from autuario.operators.sections import header
+from autuario.plans import relations
 from autuario.plans.language import Leaf, Node, broadened, cut_prefixes, leaves, parse_advanced, parse_simple
 from autuario.runtime import checkpoint_root, cut, kept
 from autuario.sources.tables import table
@@ -328,7 +329,22 @@ _SNIPPETS = f"""with k as (select id from {_sql_page(_OR, 8)}), {_W}, t as (sele
 
 _CUT = cut_prefixes(parse_simple("prorrogação decadencial", ranked=False), 5)
 
+_HEAVY = parse_simple("prazo decadencial")
+
+
+def _sql_headed(tree) -> str:
+    order = leaves(tree)
+    opening = relations.SQL["headers"].replace("120", "400").replace("121", "401")
+    hits = ", ".join(f"3.0 * {_sql_hits(x).replace('(w,', '(wh,')} + {_sql_hits(x).replace('(w,', '(we,')} as h{i}" for i, x in enumerate(order))
+    stats = ", ".join(f"count(*) filter (h{i} > 0) as d{i}" for i in range(len(order)))
+    score = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * h{i} * 2.2 / (h{i} + 1.2 * (0.25 + 0.75 * dl / mean))" for i in range(len(order)))
+    return f"""with o as ({opening}), t as (select o.id, any_value({_TOKENS.format('header')}) as wh, any_value({_TOKENS.format('ementa')}) as we from o join search s on s.id = o.id where ementa is not null group by o.id),
+ m as (select id, len(wh) + len(we) as dl, {hits} from t), s as (select count(*) as n, avg(dl) as mean, {stats} from m)
+ select id, round({score}, 6) as score from m, s where {_sql_match(tree, order)} order by round({score}, 6) desc, id limit 8"""
+
+
 SQL = {
+    "search_header_weight": _sql_headed(_HEAVY),
     "search_prefix_cut": f"{_sql_measured(_CUT)} select id, h0::int as first, h1::int as second from m where {_sql_match(_CUT, leaves(_CUT))}",
     "search_index_updated": _UPDATED,
     "search_snippets": _SNIPPETS,
