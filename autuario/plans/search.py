@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autuario.functions.text import folded
+from autuario.functions.text import ENDINGS, folded
 from autuario.operators import search as S
 from autuario.operators.sections import header
 from autuario.plans import relations
@@ -343,7 +343,11 @@ def _sql_headed(tree) -> str:
  select id, round({score}, 6) as score from m, s where {_sql_match(tree, order)} order by round({score}, 6) desc, id limit 8"""
 
 
+_STEMMED = "case " + " ".join(f"when ends_with(x, '{e}') and length(x) >= {len(e) + k} then x[1:length(x) - {len(e)}]" for e, k in sorted(ENDINGS, key=lambda e: -len(e[0]))) + " else x end"
+_STEM_TREE = Node("or", tuple(Leaf(t, (t,)) for t in ("prorrog", "decadencial")))  # of prorrogações and decadencial
+
 SQL = {
+    "search_stems": _sql_scored(_STEM_TREE).replace(_W, _W.replace("w as (", "w0 as (") + f", w as (select id, list_transform(w, lambda x: {_STEMMED}) as w from w0)") + " select id, score from r order by score desc, id limit 8",
     "search_header_weight": _sql_headed(_HEAVY),
     "search_prefix_cut": f"{_sql_measured(_CUT)} select id, h0::int as first, h1::int as second from m where {_sql_match(_CUT, leaves(_CUT))}",
     "search_index_updated": _UPDATED,
