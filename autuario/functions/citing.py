@@ -332,9 +332,9 @@ def filter_key(tipo: str, value: str) -> str | None:
     tokens = lex(value)
     court = leading_court(tokens) or trailing_court(tokens)
     if tipo == "precedente":
-        written = re.fullmatch(r"(?i)(STJ|STF|TJSC)(:[a-z_]+:(?:[A-Z]+:)?\d+)", value)
-        if written:
-            return written[1].upper() + written[2]
+        parts = value.split(":")
+        if len(parts) in (3, 4) and parts[0].upper() in ("STJ", "STF", "TJSC") and parts[-1].isdigit() and all(parts):  # a key as it is stored
+            return ":".join([parts[0].upper(), *parts[1:]])
         named = [key for key, _, _ in precedents(tokens, court) if key]
         return named[0] if len(named) == 1 else None
     if tipo == "acordao":

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import parse_qs, urljoin, urlparse
 
 import pyarrow as pa
@@ -103,7 +104,23 @@ def listed_summaries(html: str) -> list[dict]:
     return out
 
 
-_LABEL = re.compile(r"S[úu]mula( Vinculante)? (\d+)(?: \(([^()]+)\))?")
+class Label(NamedTuple):
+    """What a summary is called: its number, whether it binds, and a marker in parentheses."""
+
+    number: str
+    binding: bool
+    marker: str
+
+
+def _label(text: str) -> Label | None:
+    """A label such as ``Súmula Vinculante 9 (cancelada)``, None if it isn't one."""
+    words, _, marker = text.partition(" (")
+    said = words.split(" ")
+    binding = said[1:2] == ["Vinculante"]
+    number = said[-1]
+    if said[0] != "Súmula" or len(said) != 2 + binding or not number.isdigit() or (marker and marker.find(")") != len(marker) - 1):
+        return None
+    return Label(number, binding, marker[:-1].upper())
 
 
 def _target(url: str) -> tuple[str, str] | None:
@@ -123,19 +140,19 @@ def indexed_summaries(url: str, html: str) -> list[dict]:
         out = []
         for e in root.inside():
             to = _target(urljoin(url, e.attributes["href"])) if e.tag == "a" and "href" in e.attributes else None
-            label = _LABEL.fullmatch(_line(e.text()))
+            label = _label(_line(e.text()))
             if label and to and to[0] == base and to[1]:
-                out.append({"base": base, "page": to[1], "role": "index", "number": label[2], "binding": bool(label[1]), "marker": (label[3] or "").upper()})
+                out.append({"base": base, "page": to[1], "role": "index", **label._asdict()})
         return out
     title = root.first("titulo")
-    label = _LABEL.fullmatch(_line(title.text())) if title else None
+    label = _label(_line(title.text())) if title else None
     statement = ""
     for parent in [root, *root.inside()]:  # the statement is the title's next sibling of its class
         if title is not None and any(p is title for p in parent.parts):
             after = parent.parts[next(k for k, p in enumerate(parent.parts) if p is title) + 1 :]
             statement = next((p.text().strip() for p in after if isinstance(p, Element) and p.has("parCOM")), "")
     dates = [d for m in re.findall(r"Data de publicação do enunciado:\s*DJE?\s+de\s+(\S+)", root.text(), re.I) for d in _dates(m, "-")]
-    return [{"base": base, "page": page, "role": "page", "number": label[2] if label else None, "binding": bool(label and label[1]), "statement": statement, "published": dates[0] if len(dates) == 1 else None, "ambiguous": len(dates) > 1}]
+    return [{"base": base, "page": page, "role": "page", "number": label.number if label else None, "binding": bool(label and label.binding), "statement": statement, "published": dates[0] if len(dates) == 1 else None, "ambiguous": len(dates) > 1}]
 
 
 def form_options(html: str) -> list[dict]:

@@ -36,3 +36,8 @@ def test_form(spark, rows):
     form = '<select name="org[]"><option value="">Todos</option><option value="1ª Câmara">1ª Câmara</option><option>2ª Câmara</option></select><select name="x"><option value="z">z</option></select>'
     known = spark.createDataFrame([("1ª Câmara",), ("9ª Câmara",)], "organ string")
     assert rows(S.organ_registry(frame(spark, ("u", form)), known, "org[]")) == [("1ª Câmara", "known"), ("2ª Câmara", "new"), ("9ª Câmara", "gone")]
+
+
+def test_labels():
+    assert S._label("Súmula Vinculante 9 (cancelada)") == ("9", True, "CANCELADA") and S._label("Súmula 7") == ("7", False, "")
+    assert [S._label(x) for x in ("Súmula", "Súmula x", "Tema 7", "Súmula 7 (a) b", "Súmula 7 8", "")] == [None] * 6
